@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.runtime import read_table
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(read_table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -21,9 +31,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS keeps FROM p GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeps THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeps THEN keeps END AS refers_to
+FROM p JOIN g USING (payload_digest)
+""",
     "op9_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
