@@ -105,7 +105,7 @@ class Bucket:
     def __init__(self, row=None):
         self.filter, self.live = CuckooFilter(), {}
         if row is not None:
-            self.filter = CuckooFilter.from_bytes(row.cells, row.filter)
+            self.filter = CuckooFilter.from_bytes(row["cells"], row["filter"])
             self.live = {bytes(d): [k, int(n)] for d, k, n in zip(row.digests, row.keep_ids, row.sizes, strict=True)}
 
     def add(self, digest: bytes, doc_id, count: int) -> None:
@@ -152,7 +152,7 @@ def _bucket(buckets: int) -> Column:
 def build_index(hashed: DataFrame, buckets: int) -> DataFrame:
     """The index of digests(docs): one row for each bucket, with its filter, live digests, keep_ids and sizes."""
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = Bucket()
         ids = pdf.keep_id.astype("Int64")
         for d, k, n in zip(pdf.digest, ids.where(ids.notna(), None).tolist(), pdf.group_size.tolist(), strict=True):
@@ -165,7 +165,7 @@ def build_index(hashed: DataFrame, buckets: int) -> DataFrame:
 def delete_digests(index: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
     """The index without the digests in gone (column digest); digests that aren't live are ignored."""
 
-    def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=["bucket", "cells", "filter", "digests", "keep_ids", "sizes"])
         own = Bucket(left.iloc[0])

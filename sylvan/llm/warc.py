@@ -138,7 +138,7 @@ def _cuts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
-def _walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _walk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The records of a piece that the chain from its entry reaches."""
     names = [x.split()[0] for x in KEPT.split(", ")]
     if not len(left) or not len(right):
@@ -193,7 +193,7 @@ def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _mend(spark: SparkSession, path: str, torn: DataFrame, bases: DataFrame) -> DataFrame:
     """Records whose payload, cut by magic inside it, goes on in another piece: at most one for each border of pieces."""
 
-    def glue(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def glue(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return left
         row = left.iloc[0]
