@@ -32,7 +32,7 @@ WINDOW = 8
 ALPHA, LEAST, STEPS, CUTOFF, ALPHA_QUANTILE = 0.75, 60, 6, 50.8, 6.6257
 #: Statistics in units of 1 / SCALE, and the least standard deviation that each is given (in those units).
 SCALE = 1000
-STATS = {"_x0": 100, "_x1": 30, "_x2": 30, "_x3": 80, "_x4": 80}
+STATS = {"_x0": 100, "_x1": 30, "_x2": 30, "_x3": 200, "_x4": 200}
 X = list(STATS)
 P = len(X)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
