@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.runtime import read_table
 
-from . import exact_dedup, line_dedup, quality, sharding, warc
+from . import exact_dedup, langid, line_dedup, quality, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -36,7 +40,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op8_quality, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op6_language_id, op8_quality, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": r"""
