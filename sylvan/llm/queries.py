@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.runtime import read_table
 
-from . import exact_dedup, langid, line_dedup, quality, sharding, warc
+from . import exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_table(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -40,7 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op6_language_id, op8_quality, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op4_packing, op6_language_id, op7_ngram_join, op8_quality, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": r"""
@@ -53,6 +61,25 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> keeps THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> keeps THEN keeps END AS refers_to
 FROM p JOIN g USING (payload_digest)
+""",
+    "op7_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), counts AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM counts WHERE 100 * k >= 80 * (na + nb - k)
+), reach(id, dest) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.dest
+)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, min(dest) AS component_id FROM sets JOIN reach ON reach.id = sets.doc_id GROUP BY ALL
 """,
     "op9_exact_dedup": r"""
 WITH d AS (
