@@ -16,18 +16,20 @@ the result as in the input; an empty table gives no rows. Extra columns are igno
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER, LANDMARKS, SAMPLE, SAMPLE_CHARS, RIDGE = 3, 128, 256, 8192, 1e-3
 #: Languages that the model tells apart at most: the most frequent ones.
 LANGUAGES = 512
+#: The score from which a language counts as found: half-way between a ridge target of -1 and 1.
+LEAST = 0.5
 #: Characters worked on at a time; a longer text is taken in overlapping pieces and its n-grams united.
 PIECE = 1 << 18
 OUT = "doc_id bigint, lang_pred string, score double"
@@ -148,12 +150,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, OUT)
 
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+def _fold() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows of docs that aren't held out."""
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
-    model = train(docs.where(fold != 1))
-    return predict(docs, model).select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    model = train(docs.where(_fold() != 1))
+    return predict(docs, model).select("doc_id", (_fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose language is found with a score of at least `least`, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(_fold() != 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -42,18 +42,23 @@ def _sum(terms) -> Column:
     return reduce(add, terms)
 
 
+def row_key() -> Column:
+    """A hash of what decides a row's verdict; rows with equal keys have equal verdicts."""
+    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty(), F.col("lang"), F.col("source"))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed of every row."""
+    """doc_id, lang, source, _rk, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed of every row."""
     text = text_or_empty()
     trimmed = F.btrim(text, F.lit(SPACES))
     rows = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("source").alias("source"),
+        F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("source").alias("source"), row_key().alias("_rk"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+")).alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_lines"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
     )
     rows = rows.select(
-        "doc_id", "lang", "source", "n_symbols",
+        "doc_id", "lang", "source", "_rk", "n_symbols",
         F.size("_words").cast("bigint").alias("n_words"), F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.size("_lines").cast("bigint").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
@@ -181,4 +186,11 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     y = [f"_y{i}" for i in range(P)]
     judged = judged.withColumns({y[i]: F.col(X[i]) - F.col(f"_o{i}") for i in range(P)}).withColumn("distance", F.when(F.col("_usable") >= least, CUTOFF * _distance(y) / F.col("_cut")))
     fine = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", fine.alias("kept"), "lang", "source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", fine.alias("kept"), "lang", "source", "_rk")
+
+
+def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of docs that are kept, all columns unchanged."""
+    bad = quality_verdicts(docs, least).where("not kept").select("_rk", F.col("doc_id").alias("_bad_id")).distinct()
+    rows = docs.withColumn("_rk0", row_key())
+    return rows.join(bad, (rows["_rk0"] == bad["_rk"]) & rows["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").drop("_rk0")
