@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.runtime import discard, join_per_key, materialize
 
+from .local import labels
+
+#: Up to so many edges one task ends the job.
+ONE_TASK_EDGES = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on edges (a > b). Large: a node's larger neighbours move to its least one; small: its smaller ones and itself do."""
@@ -18,16 +24,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, least = labels(pdf.a.to_numpy(), pdf.b.to_numpy())
+    return pd.DataFrame({"a": ids, "b": least}).query("a != b")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """id and component (the smallest id that edges lead to) of every node that has an edge. Loops and nulls don't count.
 
     Large and small stars alternate until every edge points to the root of its component, in a number of rounds that is
-    logarithmic in practice; a round moves each edge twice and nothing is collected.
+    logarithmic in practice; a round moves each edge twice and nothing is collected. Up to one_task edges go to one task.
     """
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
     current = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a.isNotNull() & b.isNotNull()).where("a > b").distinct(), "edges")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     before = state(current)
+    if 0 < before[0] <= one_task:
+        current, before = materialize(current.groupBy(F.lit("all").alias("_g")).applyInPandas(_labelled, "a bigint, b bigint"), "small"), (0, None)
     while before[0]:
         after = materialize(_star(materialize(_star(current, True), "large"), False), "small")
         now = state(after)

@@ -16,6 +16,7 @@ ONE_TASK_ROWS = 1 << 20
 
 def canonical_edges(edges: DataFrame, loops: str = "drop") -> DataFrame:
     """One row (src < dst, w) per undirected edge; of parallel edges the least weight stays. Weights of -0.0 become 0.0.
+    A column pos (position in the input) stays too, other columns go.
 
     loops: 'drop' self-loops or 'error' on them. A null or NaN weight or a null endpoint is an error.
     """
@@ -28,9 +29,10 @@ def canonical_edges(edges: DataFrame, loops: str = "drop") -> DataFrame:
         if dict(edges.dtypes)["w"] in ("float", "double"):
             bad = bad | F.isnan("w")
             edges = edges.withColumn("w", F.col("w") + F.lit(0.0).cast(dict(edges.dtypes)["w"]))
-    checked = edges.where(F.when(bad, F.raise_error(F.lit("an edge has a null endpoint, a null or NaN weight, or is a loop where none is allowed")).cast("boolean")).otherwise(F.lit(True)))
-    pair = checked.where("src <> dst").select(F.least("src", "dst").cast("bigint").alias("src"), F.greatest("src", "dst").cast("bigint").alias("dst"), *(["w"] if weighted else []))
-    return pair.groupBy("src", "dst").agg(F.min("w").alias("w")) if weighted else pair.distinct()
+    checked = edges.where(F.when(bad, F.raise_error(F.lit("an edge has a null endpoint, a null or NaN weight, or is a loop where none is allowed")).cast("boolean")).otherwise(F.col("src") != F.col("dst")))
+    kept = [c for c in ("w", "pos") if c in edges.columns]
+    pair = checked.select(F.least("src", "dst").cast("bigint").alias("src"), F.greatest("src", "dst").cast("bigint").alias("dst"), *kept)
+    return pair.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in kept]) if kept else pair.distinct()
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
