@@ -37,6 +37,8 @@ ORDERS = 3
 SMALL = 8
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
+#: Up to so many rows of three longs are broadcast; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 #: Prefix entries for each partition of the index, bytes of text hashed at a time.
 PART_ENTRIES, CHUNK = 1 << 20, 1 << 20
 SETS = "rk bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens binary, counts binary"
@@ -252,7 +254,8 @@ def _lists(tokens: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def prefix_index(docs: DataFrame, orders: Orders, parts: int) -> DataFrame:
     """Entries of the first order's prefixes, a row for each batch and partition: tokens, members (places in classes), classes
-    (s1, s2, size of each distinct set of the batch) and hot (members that stand for a list of more than SMALL in their batch)."""
+    (s1, s2, size of each distinct set of the batch) and hot (members that stand for a list of more than SMALL in their batch).
+    Rows without classes hold in tokens what a batch has found itself (rows of FOUND)."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +292,10 @@ def prefix_index(docs: DataFrame, orders: Orders, parts: int) -> DataFrame:
                 used, place = np.unique(member[own], return_inverse=True)
                 yield pd.DataFrame({"part": [p], "tokens": [token[own].tobytes()], "members": [place.astype("<i4").tobytes()], "classes": [table[used].tobytes()], "hot": [np.packbits(hot[own]).tobytes()]})
             if found:
-                yield pd.DataFrame({"part": [-1], "tokens": [np.array(found, np.int64).tobytes()], "members": [b""], "classes": [b""], "hot": [b""]})
+                rows = np.array(found, np.int64)
+                to = (mix(rows[:, 4].astype(U)) % U(parts)).astype(np.int64)
+                for p in np.unique(to).tolist():
+                    yield pd.DataFrame({"part": [p], "tokens": [rows[to == p].tobytes()], "members": [b""], "classes": [b""], "hot": [b""]})
 
     return docs.select(text_or_empty().alias("text")).mapInPandas(run, INDEX)
 
@@ -314,6 +320,11 @@ def candidates(index: DataFrame) -> DataFrame:
     """Pairs of classes to compare (size -1), and members of posting lists that weren't paired in full (size 0 or more)."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.classes.map(len) == 0
+        pairs, out = set(), [tuple(r) for x in pdf.tokens[own] for r in np.frombuffer(x, "<i8").reshape(-1, 8).tolist()]
+        pdf = pdf[~own]
+        if not len(pdf):
+            return _frame(np.array(out, np.int64))
         tokens = [np.frombuffer(x, "<u8") for x in pdf.tokens]
         classes = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in pdf.classes]
         base = np.cumsum([0, *map(len, classes)])
@@ -323,7 +334,6 @@ def candidates(index: DataFrame) -> DataFrame:
         token, members = np.concatenate(tokens), place.reshape(-1)[members]
         order = np.lexsort((members, token))
         token, members, hot = token[order], members[order], hot[order]
-        pairs, out = set(), []
         for start, stop in _lists(token):
             own = np.unique(members[start:stop])
             if len(own) < 2:
@@ -339,20 +349,15 @@ def candidates(index: DataFrame) -> DataFrame:
                     out.append(r)
         return _frame(np.array(out, np.int64) if out else np.zeros((0, 8), np.int64))
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x in pdf.tokens:
-                yield _frame(np.frombuffer(x, "<i8"))
-
-    apart = index.where("part < 0").select("tokens").mapInPandas(local, FOUND)
-    return index.where("part >= 0").groupBy("part").applyInPandas(merge, FOUND).unionByName(apart)
+    return index.groupBy("part").applyInPandas(merge, FOUND)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame:
     """The pairs (a, b: rk of a class's first row) that are linked, from the texts of these rows."""
     ends = pairs.select(F.col("a").alias("rk"), F.lit(1).alias("_a")).unionByName(pairs.select(F.col("b").alias("rk"), F.lit(0).alias("_a")))
     ends = materialize(ends.groupBy("rk").agg(F.sum("_a").alias("n_a"), F.sum(1 - F.col("_a")).alias("n_b")), "ends")
-    rows = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(ends, "rk")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    rows = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(few, "rk")
     texts = materialize(rows.groupBy("rk").agg(F.first("text").alias("text"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")), "texts")
     total = pairs.count()
     side = lambda c: texts.select(F.col("rk").alias(c), F.col("text").alias(f"text_{c}"), f"n_{c}")
@@ -384,7 +389,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(1, entries // DENOMINATOR // PART_ENTRIES + 1) if entries else 1
     parts = max(parts, min(64, entries // 100_000 + 1))
-    found = materialize(candidates(materialize(prefix_index(docs, orders, parts), "index")), "candidates")
+    found = materialize(candidates(prefix_index(docs, orders, parts)), "candidates")
     name = lambda s, c: classes.select(F.col("s1").alias(f"{s}1"), F.col("s2").alias(f"{s}2"), F.col("rk").alias(c))
     pairs = found.where("size < 0").select("a1", "a2", "b1", "b2").distinct().join(name("a", "a"), ["a1", "a2"]).join(name("b", "b"), ["b1", "b2"])
     pairs = materialize(pairs.select("a", "b"), "pairs")
