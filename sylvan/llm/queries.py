@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.runtime import read_table
 
-from . import exact_dedup, langid, line_dedup, ngram_join, packing, quality, sharding, warc
+from . import exact_dedup, langid, line_dedup, ngram_join, packing, quality, sentencepiece_nbest, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -27,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.nbest_segmentations(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op3_warc, op4_packing, op6_language_id, op7_ngram_join, op8_quality, op9_exact_dedup, op10_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_warc, op4_packing, op5_sentencepiece, op6_language_id, op7_ngram_join, op8_quality, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": r"""
