@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,12 +18,20 @@ HOT_LEAST = 1000
 HOT_FAN = 64
 
 
+#: Folders of our own, for sessions without a shared one.
+_own: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='sylvan-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="sylvan-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = f"file://{folder}"
+        path = _own[app]
     return path.rstrip("/")
 
 
