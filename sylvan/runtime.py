@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,23 @@ HOT_LEAST = 1000
 HOT_FAN = 64
 
 
+#: Applications whose workers have been given this package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to Python workers that wouldn't find it: unless its folder is on PYTHONPATH, or local workers start in it."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    on_path = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    at_home = context.master.startswith("local") and "cluster" not in context.master and Path.cwd() == root
+    if on_path or at_home or context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="sylvan-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/sylvan", "zip", root, "sylvan"))
+    _shipped.add(context.applicationId)
+
+
 #: Folders of our own, for sessions without a shared one.
 _own: dict[str, str] = {}
 
