@@ -9,8 +9,9 @@ sets compared.
 
 Links are needed to tell components apart, so no group of the index is expanded into all pairs. A posting list of up to
 SMALL classes is paired in full. A longer one is paired with local hubs, and its members are written down. When the links
-so found have been merged into components, lists whose members are in one component are settled; in the others exactly the
-pairs across components are compared. So no link between components is lost.
+so found have been merged into components, lists whose members are in one component are settled. The others get further
+hubs, drawn by lot, while these merge components; at the end exactly the pairs that still lie across components are compared.
+So no link between components is lost.
 
 Cases: a text without words, or null, has an empty set and is alone; fewer words than five are one shingle; rows that
 repeat a doc_id count as documents of that id; a null doc_id is never a component_id, and a component without any other has
@@ -37,6 +38,8 @@ ORDERS = 3
 SMALL = 8
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
+#: While pairs across components outnumber members of unsettled lists by HUB_FACTOR, up to HUB_ROUNDS rounds draw hubs first.
+HUB_FACTOR, HUB_ROUNDS = 4, 8
 #: Up to so many rows of three longs are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 #: Prefix entries for each partition of the index, bytes of text hashed at a time.
@@ -396,10 +399,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(pairs, docs, classes, orders), "links")
     members = materialize(found.where("size >= 0").select("token", F.col("m1").alias("s1"), F.col("m2").alias("s2")).distinct().join(classes.select("s1", "s2", "rk", "n"), ["s1", "s2"]).select("token", "rk", "n"), "members")
     parts_of = materialize(connected_components(links, "a", "b"), "components")
-    across = _across(members, parts_of, pairs)
-    if not across.isEmpty():
-        links = materialize(links.unionByName(_verified(across, docs, classes, orders)).distinct(), "links")
-        parts_of = materialize(connected_components(links, "a", "b"), "components")
+    for turn in range(HUB_ROUNDS + 1):
+        left, many = _unsettled(members, parts_of)
+        more = _across(left, pairs) if turn == HUB_ROUNDS or not many else _hub_pairs(left, pairs, turn)
+        if turn < HUB_ROUNDS and many and more.isEmpty():
+            many, more = False, _across(left, pairs)
+        if not more.isEmpty():
+            found = materialize(_verified(more, docs, classes, orders), "links")
+            stuck = many and found.isEmpty()
+            links = materialize(links.unionByName(found).distinct(), "links")
+            pairs = materialize(pairs.unionByName(more), "pairs")
+            parts_of = materialize(connected_components(links, "a", "b"), "components")
+            if stuck:  # hubs bring nothing more; what is left is compared in full
+                left, many = _unsettled(members, parts_of)[0], False
+                more = _across(left, pairs)
+                if not more.isEmpty():
+                    links = materialize(links.unionByName(_verified(more, docs, classes, orders)).distinct(), "links")
+                    parts_of = materialize(connected_components(links, "a", "b"), "components")
+        if not many:
+            break
     degree = links.select(F.col("a").alias("rk")).unionByName(links.select(F.col("b").alias("rk"))).groupBy("rk").agg(F.count("*").alias("links"))
     named = classes.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").join(degree, "rk", "left").withColumn("component", F.coalesce("component", "rk"))
     named = materialize(named, "named")
@@ -410,18 +428,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id", "links").unionByName(alone)
 
 
-def _across(members: DataFrame, parts_of: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of members of an unsettled posting list that lie in different components and weren't compared yet."""
+def _unsettled(members: DataFrame, parts_of: DataFrame) -> tuple[DataFrame, bool]:
+    """token, rk, n and component of the posting lists that hold several components, and whether pairs across are many more than members."""
     placed = members.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").withColumn("component", F.coalesce("component", "rk"))
     placed = materialize(placed, "placed")
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = materialize(placed.join(open_lists, "token"), "unsettled")
-    l, r = left.alias("l"), left.alias("r")
-    similar = (F.col("l.n") * NUMERATOR <= F.col("r.n") * DENOMINATOR) & (F.col("r.n") * NUMERATOR <= F.col("l.n") * DENOMINATOR)
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & similar)
-    pairs = pairs.select(F.least("l.rk", "r.rk").alias("a"), F.greatest("l.rk", "r.rk").alias("b")).distinct()
+    sizes = placed.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k"))
+    open_lists = materialize(sizes.where("k > 1"), "open")
+    across, rows = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
+    left = materialize(join_per_key(placed, open_lists.select("token", F.col("m").cast("bigint").alias("m")), ["token"], "m", max(1, int(rows or 0)), ["rk"]).drop("m"), "unsettled")
+    return left, bool(across) and across > HUB_FACTOR * rows
+
+
+def _untested(pairs: DataFrame, tested: DataFrame, name: str) -> DataFrame:
+    some = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialize(pairs.join(done, ["a", "b"], "left_anti"), "across")
+    return materialize(some.join(done, ["a", "b"], "left_anti"), name)
+
+
+def _similar(a: str, b: str) -> Column:
+    return (F.col(a) * NUMERATOR <= F.col(b) * DENOMINATOR) & (F.col(b) * NUMERATOR <= F.col(a) * DENOMINATOR)
+
+
+def _hub_pairs(left: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """Each member of an unsettled list with a member of another component, drawn anew for every list and turn: no more pairs than members."""
+    draw = F.xxhash64("rk", "token", F.lit(turn))
+    hubs = left.groupBy("token").agg(F.min_by(F.struct("rk", "n", "component"), draw).alias("h"), F.count("*").alias("m"))
+    hubs = materialize(hubs.select("token", F.col("h.rk").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"), "m"), "hubs")
+    pairs = join_per_key(left, hubs, ["token"], "m", left.count(), ["rk"]).where(F.col("component") != F.col("hub_component")).where(_similar("n", "hub_n"))
+    return _untested(pairs.select(F.col("rk").alias("a"), F.col("hub").alias("b")), tested, "hub_pairs")
+
+
+def _across(left: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of members of an unsettled posting list that lie in different components and weren't compared yet."""
+    l, r = left.alias("l"), left.alias("r")
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & _similar("l.n", "r.n"))
+    return _untested(pairs.select(F.col("l.rk").alias("a"), F.col("r.rk").alias("b")), tested, "across")
 
 
 def component_table(docs: DataFrame) -> DataFrame:
