@@ -38,8 +38,9 @@ ORDERS = 3
 SMALL = 8
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
-#: While pairs across components outnumber members of unsettled lists by HUB_FACTOR, up to HUB_ROUNDS rounds draw hubs first.
-HUB_FACTOR, HUB_ROUNDS = 4, 8
+#: While pairs across components outnumber members of unsettled lists by HUB_FACTOR, up to HUB_ROUNDS rounds draw hubs first,
+#: as long as one in HUB_YIELD of their pairs is linked.
+HUB_FACTOR, HUB_ROUNDS, HUB_YIELD = 4, 8, 10
 #: Up to so many rows of three longs are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 #: Prefix entries for each partition of the index, bytes of text hashed at a time.
@@ -399,25 +400,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(pairs, docs, classes, orders), "links")
     members = materialize(found.where("size >= 0").select("token", F.col("m1").alias("s1"), F.col("m2").alias("s2")).distinct().join(classes.select("s1", "s2", "rk", "n"), ["s1", "s2"]).select("token", "rk", "n"), "members")
     parts_of = materialize(connected_components(links, "a", "b"), "components")
-    for turn in range(HUB_ROUNDS + 1):
+    hubs, turn = True, 0
+    while True:
         left, many = _unsettled(members, parts_of)
-        more = _across(left, pairs) if turn == HUB_ROUNDS or not many else _hub_pairs(left, pairs, turn)
-        if turn < HUB_ROUNDS and many and more.isEmpty():
-            many, more = False, _across(left, pairs)
-        if not more.isEmpty():
-            found = materialize(_verified(more, docs, classes, orders), "links")
-            stuck = many and found.isEmpty()
-            links = materialize(links.unionByName(found).distinct(), "links")
+        hubs = hubs and many and turn < HUB_ROUNDS
+        more = _hub_pairs(left, pairs, turn) if hubs else _across(left, pairs)
+        tested, found = more.count(), 0
+        if tested:
+            new = materialize(_verified(more, docs, classes, orders), "links")
+            found = new.count()
+            links = materialize(links.unionByName(new), "links")
             pairs = materialize(pairs.unionByName(more), "pairs")
+        if found:
             parts_of = materialize(connected_components(links, "a", "b"), "components")
-            if stuck:  # hubs bring nothing more; what is left is compared in full
-                left, many = _unsettled(members, parts_of)[0], False
-                more = _across(left, pairs)
-                if not more.isEmpty():
-                    links = materialize(links.unionByName(_verified(more, docs, classes, orders)).distinct(), "links")
-                    parts_of = materialize(connected_components(links, "a", "b"), "components")
-        if not many:
+        if not hubs:
             break
+        hubs, turn = found * HUB_YIELD >= tested > 0, turn + 1
     degree = links.select(F.col("a").alias("rk")).unionByName(links.select(F.col("b").alias("rk"))).groupBy("rk").agg(F.count("*").alias("links"))
     named = classes.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").join(degree, "rk", "left").withColumn("component", F.coalesce("component", "rk"))
     named = materialize(named, "named")
@@ -459,9 +457,15 @@ def _hub_pairs(left: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
 
 
 def _across(left: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of members of an unsettled posting list that lie in different components and weren't compared yet."""
-    l, r = left.alias("l"), left.alias("r")
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & _similar("l.n", "r.n"))
+    """Pairs of members of an unsettled posting list that lie in different components and weren't compared yet.
+
+    Two classes may share many lists; a pair is made in that of their least common shingle only.
+    """
+    lists = left.groupBy("rk").agg(F.collect_set("token").alias("lists"))
+    own = materialize(left.join(lists, "rk"), "across_lists")
+    l, r = own.alias("l"), own.alias("r")
+    first = F.array_min(F.array_intersect("l.lists", "r.lists")) == F.col("l.token")
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & _similar("l.n", "r.n") & first)
     return _untested(pairs.select(F.col("l.rk").alias("a"), F.col("r.rk").alias("b")), tested, "across")
 
 
