@@ -17,6 +17,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import product
 
@@ -36,6 +37,23 @@ MEMORY, CHUNK = 400_000, 64
 PATHS = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, scores array<double>"
 
 
+class Known(dict):
+    """Chunks to the ids of their best path, its score, and what the second best loses."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> tuple[bytes, float, float]:
+        two = self.pieces.paths(chunk, 2)
+        found = array("I", self.pieces.ids_of(chunk, two[0][1])).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
+        if len(chunk) <= CHUNK:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Pieces:
     """Pieces of a vocabulary file with ids and scores."""
 
@@ -49,35 +67,46 @@ class Pieces:
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         first = min(self.ids.values(), default=0)
         self.scores = {x: -math.log(i - first + 2) for x, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.trie: dict = {}
+        for x, score in self.scores.items():
+            node = self.trie
+            for c in x:
+                node = node.setdefault(c, {})
+            node[""] = score
         self.text = {i: x for x, i in self.ids.items()}
         self.value = {i: b for b, i in enumerate(self.bytes)}
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.known = Known(self)
 
     def spelled(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (MARK if char == OWN_MARK else char).encode("utf-8", "surrogatepass")]
 
-    def lattice(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """For each end position the (start, score) of the pieces that end there."""
-        n, scores = len(chunk), self.scores
+    def lattice(self, chunk: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
+        """For each end position the (start, score) of the pieces that end there, and the best score of each prefix."""
+        n, root = len(chunk), self.trie
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        best = [0.0] + [-math.inf] * n
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                s = scores.get(chunk[i:j])
+            node, here, j = root.get(chunk[i]), best[i], i + 1
+            if node is None or "" not in node:  # spelled in bytes
+                s = BYTE_SCORE * len(self.spelled(chunk[i]))
+                ends[j].append((i, s))
+                if here + s > best[j]:
+                    best[j] = here + s
+            while node is not None:
+                s = node.get("")
                 if s is not None:
                     ends[j].append((i, s))
-                elif j == i + 1:
-                    ends[j].append((i, BYTE_SCORE * len(self.spelled(chunk[i]))))
-        return ends
+                    if here + s > best[j]:
+                        best[j] = here + s
+                if j == n:
+                    break
+                node = node.get(chunk[j])
+                j += 1
+        return ends, best
 
     def paths(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best paths: score and cut positions, best first; equal scores by the order of cuts."""
-        ends = self.lattice(chunk)
-        best = [0.0] + [-math.inf] * len(chunk)
-        for j in range(1, len(best)):
-            for i, s in ends[j]:
-                if best[i] + s > best[j]:
-                    best[j] = best[i] + s
+        ends, best = self.lattice(chunk)
         out, heap = [], [(-best[-1], (len(chunk),), 0.0)]
         while heap and len(out) < n:
             _, cuts, done = heapq.heappop(heap)
@@ -96,18 +125,6 @@ class Pieces:
             out += [own] if own is not None else self.spelled(chunk[i:j])
         return out
 
-    def best(self, chunk: str) -> tuple[bytes, float, float]:
-        """ids of the best path, its score, and what the second best loses."""
-        found = self.known.get(chunk)
-        if found is None:
-            two = self.paths(chunk, 2)
-            found = np.array(self.ids_of(chunk, two[0][1]), "<u4").tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
-            if len(chunk) <= CHUNK:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[chunk] = found
-        return found
-
     def encode(self, text: str) -> list[str]:
         """The chunks of a text."""
         return CHUNKS.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
@@ -115,9 +132,15 @@ class Pieces:
     def nbest(self, text: str, n: int = NBEST) -> list[tuple[float, bytes]]:
         """Scores and ids of the n best segmentations of a text."""
         chunks = self.encode(text)
-        parts = [self.best(c) for c in chunks]
-        total = math.fsum(p[1] for p in parts)
-        open_to = sorted(range(len(parts)), key=lambda k: (parts[k][2], k))[: n - 1] if len(parts) < 64 else self._smallest(parts, n - 1)
+        parts = list(map(self.known.__getitem__, chunks))
+        total = math.fsum([p[1] for p in parts])
+        loss = np.array([p[2] for p in parts])
+        if len(loss) > 4 * n:  # ties at the border go to the first
+            border = np.partition(loss, n - 1)[n - 1]
+            at = np.flatnonzero(loss <= border)
+            open_to = at[np.argsort(loss[at], kind="stable")][: n - 1].tolist()
+        else:
+            open_to = np.argsort(loss, kind="stable")[: n - 1].tolist()
         choices = [[(s - parts[k][1], cuts) for s, cuts in self.paths(chunks[k], n)] for k in open_to]
         ranked = sorted(product(*[range(len(c)) for c in choices]), key=lambda pick: (-sum(choices[x][y][0] for x, y in enumerate(pick)), pick))[:n]
         out = []
@@ -129,11 +152,6 @@ class Pieces:
             out.append((total + sum(choices[x][y][0] for x, y in enumerate(pick)), b"".join(ids)))
         return out
 
-    @staticmethod
-    def _smallest(parts: list[tuple[bytes, float, float]], n: int) -> list[int]:
-        loss = np.array([p[2] for p in parts])
-        return np.argsort(loss, kind="stable")[:n].tolist()
-
     def decode(self, ids: bytes) -> str:
         """The text of ids."""
         data = b"".join(bytes([self.value[i]]) if i in self.value else self.text[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in np.frombuffer(ids, "<u4").tolist())
