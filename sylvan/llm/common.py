@@ -20,3 +20,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names in any case: working columns may then take them."""
     low = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import join_per_key, materialize
 
-from .common import SPACE_CLASS, text_or_empty
+from .common import SPACE_CLASS, free_name, text_or_empty
 
 #: Fingerprints in a cell of the filter, moves before an insertion gives up, rows for each bucket of the index.
 CELL, MOVES, BUCKET_ROWS = 4, 200, 20_000
@@ -105,8 +105,8 @@ class Bucket:
     def __init__(self, row=None):
         self.filter, self.live = CuckooFilter(), {}
         if row is not None:
-            self.filter = CuckooFilter.from_bytes(row["cells"], row["filter"])
-            self.live = {bytes(d): [k, int(n)] for d, k, n in zip(row.digests, row.keep_ids, row.sizes, strict=True)}
+            self.filter = CuckooFilter.from_bytes(int(row["cells"]), row["filter"])
+            self.live = {bytes(d): [k, int(n)] for d, k, n in zip(row["digests"], row["keep_ids"], row["sizes"], strict=True)}
 
     def add(self, digest: bytes, doc_id, count: int) -> None:
         if digest in self.filter and (own := self.live.get(digest)) is not None:  # a hit, verified against what is stored
@@ -198,5 +198,6 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, all columns unchanged."""
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    return rows.join(kept, rows["doc_id"].cast("bigint").eqNullSafe(kept["_kept_id"]) & (rows["_sha"] == kept["_kept_sha"]), "left_semi").drop("_sha")
+    sha = free_name(docs, "_sha")
+    rows = docs.withColumn(sha, F.sha2(normalised(), 256))
+    return rows.join(kept, rows["doc_id"].cast("bigint").eqNullSafe(kept["_kept_id"]) & (rows[sha] == kept["_kept_sha"]), "left_semi").drop(sha)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sylvan.operators.components import connected_components
 from sylvan.runtime import join_per_key, materialize
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity NUMERATOR / DENOMINATOR
 ORDERS = 3
@@ -481,5 +481,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows that repeat the doc_id with another text: the least key stays.
     best = found.groupBy("doc_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("rk")).alias("own")).agg(F.min("rk").alias("_rk")).select("_rk").distinct()
-    rows = docs.withColumn("_rk0", _row_key())
-    return rows.join(best, rows["_rk0"] == best["_rk"], "left_semi").drop("_rk0")
+    own = free_name(docs, "_own")
+    rows = docs.withColumn(own, _row_key())
+    return rows.join(best, rows[own] == best["_rk"], "left_semi").drop(own)

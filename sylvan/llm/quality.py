@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import discard, join_per_key, materialize
 
-from .common import SPACE_CLASS, SPACES, text_or_empty
+from .common import SPACE_CLASS, SPACES, free_name, text_or_empty
 
 WINDOW = 8
 #: Share of rows that the estimate rests on, rows that a group needs, concentration steps, squared distance that rejects.
@@ -192,5 +192,6 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs that are kept, all columns unchanged."""
     bad = quality_verdicts(docs, least).where("not kept").select("_rk", F.col("doc_id").alias("_bad_id")).distinct()
-    rows = docs.withColumn("_rk0", row_key())
-    return rows.join(bad, (rows["_rk0"] == bad["_rk"]) & rows["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").drop("_rk0")
+    own = free_name(docs, "_own")
+    rows = docs.withColumn(own, row_key())
+    return rows.join(bad, (rows[own] == bad["_rk"]) & rows["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").drop(own)

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import materialize
 
-from .common import text_or_empty, without
+from .common import free_name, text_or_empty, without
 
 #: Ranges: one for each RANGE_BYTES, at least so many a shard and no more than MOST_RANGES in all (what the driver and a broadcast hold); samples for each range.
 RANGE_BYTES, RANGES_PER_SHARD, MOST_RANGES, SAMPLES = 64 << 20, 64, 1 << 16, 8
+WORKING = ("_k", "_r", "_range", "_part", "_shard", "_base", "_cell", "_first", "_in", "_parts")
 #: Bytes that a record costs besides its text.
 RECORD_BYTES = 16
 
@@ -67,7 +68,9 @@ def _with_range(rows: DataFrame, bounds: list[int], bits: int) -> DataFrame:
 
 def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard, slot (gapless in the shard) and grown_shard (null)."""
-    rows = _keyed(without(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+    kept = without(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    aside = {c: free_name(kept, f"{c}_aside") for c in kept.columns if c.lower() in WORKING}  # renamed, and back at the end
+    rows = _keyed(kept.withColumnsRenamed(aside))
     keys = materialize(rows.select("_k", "_r", "size"), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     ranges = min(MOST_RANGES, max(RANGES_PER_SHARD * shards, total // RANGE_BYTES))
@@ -89,7 +92,7 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     placed = docs.sparkSession.createDataFrame(found[["_range", "_part", "_shard", "_base"]].astype("int64"), "_range bigint, _part bigint, _shard bigint, _base bigint")
     order = Window.partitionBy("_range", "_part").orderBy("_k", "_r")
     out = divided(rows).join(F.broadcast(placed), ["_range", "_part"])
-    return out.withColumns({"law": F.lit("bytes"), "shard": F.col("_shard").cast("int"), "slot": (F.col("_base") + F.row_number().over(order) - 1).cast("bigint"), "grown_shard": F.lit(None).cast("int")}).drop("_k", "_r", "_range", "_part", "_shard", "_base")
+    return out.withColumns({"law": F.lit("bytes"), "shard": F.col("_shard").cast("int"), "slot": (F.col("_base") + F.row_number().over(order) - 1).cast("bigint"), "grown_shard": F.lit(None).cast("int")}).drop(*WORKING).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:

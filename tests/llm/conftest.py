@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _th string, _salt string, shard string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _th string, _salt string, shard string, _own string, _sha string"
 
 
 @pytest.fixture
@@ -8,6 +8,6 @@ def docs_of(spark):
     """Documents from (doc_id, text) pairs, with columns whose names clash with working columns."""
 
     def make(pairs, lang="en", source="s"):
-        return spark.createDataFrame([(i, t, lang, source, None if t is None else len(t), "x", "y", "z") for i, t in pairs], DOCS)
+        return spark.createDataFrame([(i, t, lang, source, None if t is None else len(t), "x", "y", "z", "o", "s") for i, t in pairs], DOCS)
 
     return make

@@ -31,3 +31,10 @@ def test_nulls_repeats_and_empty(docs_of):
     pairs = [(None, None), (None, None), (1, ""), (1, "a"), (1, "a"), (2, "x" * 100_000)]
     check(assign_shards(docs_of(pairs), 4), 4, pairs)
     assert assign_shards(docs_of([]), 4).collect() == []
+
+
+def test_columns_named_like_working_columns(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", i, "p", 1.5) for i in range(9)], "doc_id bigint, text string, _k bigint, _PART string, size double")
+    rows = assign_shards(docs, 3).collect()
+    assert sorted((r.doc_id, r._k, r._PART) for r in rows) == [(i, i, "p") for i in range(9)]
+    assert all(r["size"] == len(r.text) + 16 for r in rows)
