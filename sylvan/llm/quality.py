@@ -10,8 +10,9 @@ CUTOFF. All steps run over the table of statistics, not over texts.
 
 Cases: a null or blank text has no words and fails the base rule; null language and null source are values of their own;
 rows of a language and source with fewer than LEAST usable rows are judged with the other small groups of their language,
-and if these are too few with all rows left over; if those are too few too, only the base rule counts. Repeated rows count
-each. An empty table gives no rows. Extra columns are ignored.
+and if these are too few with all rows left over; if those are too few too, only the base rule counts. Copies and near copies
+can't take an estimate over: a cell of like statistics that holds over 1 / CELL_SHARE of the weight of a group is weighed down
+to that share (`_weights`), and the scale is never below LEAST_SCALE. In groups without such a cell repeated rows count each. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ WINDOW = 8
 #: Share of rows that the estimate rests on, rows that a group needs, concentration steps, squared distance that rejects.
 #: CUTOFF is the 1 - 1e-9 quantile of chi-square with 5 degrees, ALPHA_QUANTILE its ALPHA quantile.
 ALPHA, LEAST, STEPS, CUTOFF, ALPHA_QUANTILE = 0.75, 60, 6, 50.8, 6.6257
+#: Cells are half a floor wide; FULL is the weight of a row outside of crowded cells. LEAST_SCALE is below the scale of a
+#: normal group in which one statistic alone varies (0.54), so that only groups with no spread of their own meet it.
+CELL_SHARE, FULL, LEAST_SCALE = 16, 1 << 20, 0.5
 #: Statistics in units of 1 / SCALE, and the least standard deviation that each is given (in those units).
 SCALE = 1000
 STATS = {"_x0": 100, "_x1": 30, "_x2": 30, "_x3": 200, "_x4": 200}
@@ -100,10 +104,34 @@ def _at_share(counts: DataFrame, by: list[str], value: str, shares: dict[str, fl
 
 
 def _moments(rows: DataFrame, by: list[str], y: list[str]) -> DataFrame:
-    """n, sums and sums of products of the integer columns y, exact whatever the order."""
-    sums = [F.sum(F.col(y[i]).cast("decimal(18,0)")).cast("double").alias(f"_s{i}") for i in range(P)]
-    products = [F.sum((F.col(y[i]) * F.col(y[j])).cast("decimal(19,0)")).cast("double").alias(f"_p{i}{j}") for i, j in PAIRS]
-    return rows.groupBy(*by).agg(F.count("*").cast("double").alias("_h"), *sums, *products)
+    """Weight, sums and sums of products of the integer columns y, weighed by _u, exact whatever the order."""
+    sums = [F.sum((F.col("_u") * F.col(y[i])).cast("decimal(18,0)")).cast("double").alias(f"_s{i}") for i in range(P)]
+    products = [F.sum((F.col("_u") * F.col(y[i]) * F.col(y[j])).cast("decimal(19,0)")).cast("double").alias(f"_p{i}{j}") for i, j in PAIRS]
+    return rows.groupBy(*by).agg(F.sum("_u").cast("double").alias("_h"), *sums, *products)
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    """For each group its number of rows _rows and _crowded, the weight of a row by crowded cell.
+
+    With the k fullest cells capped at c the others hold r rows; c = r / (CELL_SHARE - k) makes each capped cell weigh
+    1 / CELL_SHARE of all. The least k whose next cell needs no cap is taken; where there are too few cells for that, each
+    weighs as one row.
+    """
+    cells = materialize(rows.groupBy("_g", _place().alias("_at")).agg(F.count("*").alias("n")), "cells")
+    sizes = cells.groupBy("_g").agg(F.sum("n").alias("_rows"))
+    w = Window.partitionBy("_g").orderBy(F.desc("n"), "_at")
+    top = cells.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= CELL_SHARE)
+    top = materialize(top.join(sizes, "_g").withColumn("_rest", F.col("_rows") - F.sum("n").over(w) + F.col("n")), "fullest")
+    fits = top.where(F.col("n") * (CELL_SHARE + 1 - F.col("_r")) <= F.col("_rest"))
+    caps = fits.groupBy("_g").agg(F.min_by(F.col("_rest") / (CELL_SHARE + 1 - F.col("_r")), "_r").alias("_cap"))
+    capped = top.join(caps, "_g", "left").withColumn("_cap", F.greatest(F.lit(1.0), F.coalesce("_cap", F.lit(1.0)))).where("n > _cap")
+    capped = capped.select("_g", F.struct("_at", F.greatest(F.lit(1), F.floor(FULL * F.col("_cap") / F.col("n"))).cast("bigint").alias("u")).alias("_e"))
+    return sizes.join(capped.groupBy("_g").agg(F.map_from_entries(F.collect_list("_e")).alias("_crowded")), "_g", "left")
+
+
+def _place() -> Column:
+    """The cell of a row's statistics."""
+    return F.concat_ws(" ", *[F.floor(F.col(x) * 2 / floor).cast("string") for x, floor in STATS.items()])
 
 
 def _estimate(moments: DataFrame, by: list[str]) -> DataFrame:
@@ -134,29 +162,32 @@ def _cell(d: Column) -> Column:
 
 def robust_estimates(rows: DataFrame, total: int, steps: int = STEPS) -> DataFrame:
     """For each group (_g) of rows (_g, _n, x0 .. x4; usable ones only): the MCD estimate, and _cut, the distance that rejects."""
-    hist = rows.select("_g", F.posexplode(F.array(*X)).alias("_i", "_v")).groupBy("_g", "_i", "_v").agg(F.count("*").alias("n"))
+    weights = materialize(_weights(rows), "weights")
+    weighed = join_per_key(rows, weights, ["_g"], "_rows", total, ["doc_id", *X])
+    rows = materialize(weighed.select("doc_id", "_g", *X, F.coalesce(F.element_at("_crowded", _place()), F.lit(FULL)).cast("bigint").alias("_u")), "weighed")
+    hist = rows.select("_g", "_u", F.posexplode(F.array(*X)).alias("_i", "_v")).groupBy("_g", "_i", "_v").agg(F.sum("_u").alias("n"))
     mid = _at_share(hist, ["_g", "_i"], "_v", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
     at = lambda i, name: F.max(F.when(F.col("_i") == i, F.col(name)))
     start = mid.groupBy("_g").agg(*[at(i, "mid").alias(f"_o{i}") for i in range(P)], *[F.greatest(F.lit(float(STATS[x])), at(i, "hi") - at(i, "lo"), F.lit(0.0)).alias(f"_q{i}") for i, x in enumerate(X)])
-    start = materialize(start.join(rows.groupBy("_g").agg(F.count("*").alias("_rows")), "_g"), "starts")
+    start = materialize(start.join(weights.select("_g", "_rows"), "_g"), "starts")
     join = lambda right: join_per_key(rows, right, ["_g"], "_rows", total, ["doc_id", *X])
     # Rows are centred on the median, so that sums of products stay small.
     y = [f"_y{i}" for i in range(P)]
-    rows = materialize(join(start).select("doc_id", "_g", *X, *[(F.col(X[i]) - F.col(f"_o{i}")).cast("bigint").alias(y[i]) for i in range(P)], *[f"_q{i}" for i in range(P)]), "centred")
+    rows = materialize(join(start).select("doc_id", "_g", "_u", *X, *[(F.col(X[i]) - F.col(f"_o{i}")).cast("bigint").alias(y[i]) for i in range(P)], *[f"_q{i}" for i in range(P)]), "centred")
     # Start 0: quartile ranges alone; start 1: covariance of rows winsorised at 1.5 quartile ranges (two standard deviations).
-    clipped = rows.select("_g", *[F.greatest(F.least(F.col(y[i]), F.ceil(1.5 * F.col(f"_q{i}")).cast("bigint")), -F.ceil(1.5 * F.col(f"_q{i}")).cast("bigint")).alias(y[i]) for i in range(P)])
+    clipped = rows.select("_g", "_u", *[F.greatest(F.least(F.col(y[i]), F.ceil(1.5 * F.col(f"_q{i}")).cast("bigint")), -F.ceil(1.5 * F.col(f"_q{i}")).cast("bigint")).alias(y[i]) for i in range(P)])
     flat = start.select("_g", F.lit(1.0).alias("_h"), *[F.lit(0.0).alias(f"_s{i}") for i in range(P)], *[(F.pow(F.col(f"_q{i}") / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"_p{i}{j}") for i, j in PAIRS])
     est = _estimate(flat, ["_g"]).withColumn("_start", F.lit(0)).unionByName(_estimate(_moments(clipped, ["_g"], y), ["_g"]).withColumn("_start", F.lit(1)))
     sizes = start.select("_g", "_rows", *[f"_o{i}" for i in range(P)])
     both = lambda e: e.groupBy("_g").agg(F.collect_list(F.struct("_start", *[f"_m{i}" for i in range(P)], *[f"_w{i}{j}" for i, j in PAIRS])).alias("_e"))
     est, old = materialize(both(est).join(sizes.select("_g", "_rows"), "_g"), "estimate"), None
-    rows = rows.select("doc_id", "_g", *y, *X)
+    rows = rows.select("doc_id", "_g", "_u", *y, *X)
     for step in range(steps):
-        far = join_per_key(rows, est, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", *y, F.explode("_e").alias("_e")).select("_g", *y, "_e.*")
-        far = far.select("_g", "_start", *y, _cell(_distance(y)).alias("_d"))
-        near = _at_share(far.groupBy("_g", "_start", "_d").agg(F.count("*").alias("n")), ["_g", "_start"], "_d", {"_near": ALPHA})
+        far = join_per_key(rows, est, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", "_u", *y, F.explode("_e").alias("_e")).select("_g", "_u", *y, "_e.*")
+        far = far.select("_g", "_start", "_u", _cell(_distance(y)).alias("_d"))
+        near = _at_share(far.groupBy("_g", "_start", "_d").agg(F.sum("_u").alias("n")), ["_g", "_start"], "_d", {"_near": ALPHA})
         near = materialize(near.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_start", "_near"))).alias("_near")).join(est, "_g"), "near")
-        held = join_per_key(rows, near, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", *y, "_near", F.explode("_e").alias("_e")).select("_g", *y, "_near", "_e.*")
+        held = join_per_key(rows, near, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", "_u", *y, "_near", F.explode("_e").alias("_e")).select("_g", "_u", *y, "_near", "_e.*")
         held = held.where(_cell(_distance(y)) <= F.element_at("_near", F.col("_start")))
         new = _estimate(_moments(held, ["_g", "_start"], y), ["_g", "_start"])
         if step == steps - 1:
@@ -167,9 +198,9 @@ def robust_estimates(rows: DataFrame, total: int, steps: int = STEPS) -> DataFra
             old, est = est, materialize(both(new).join(sizes.select("_g", "_rows"), "_g"), "estimate")
             discard(old)
     # Scale: the ALPHA quantile of the distances is that of a normal vector.
-    far = join_per_key(rows, best, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", _cell(_distance(y)).alias("_d")).groupBy("_g", "_d").agg(F.count("*").alias("n"))
+    far = join_per_key(rows, best, ["_g"], "_rows", total, ["doc_id", *X]).select("_g", "_u", _cell(_distance(y)).alias("_d")).groupBy("_g", "_d").agg(F.sum("_u").alias("n"))
     scale = _at_share(far, ["_g"], "_d", {"_near": ALPHA})
-    return best.join(scale, "_g").withColumn("_cut", CUTOFF * F.exp((F.col("_near") + 1) / 64.0) / ALPHA_QUANTILE).drop("_near", "_start", "_rows", "_det")
+    return best.join(scale, "_g").withColumn("_cut", CUTOFF * F.greatest(F.lit(LEAST_SCALE), F.exp((F.col("_near") + 1) / 64.0) / ALPHA_QUANTILE)).drop("_near", "_start", "_rows", "_det")
 
 
 def quality_verdicts(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -119,3 +119,19 @@ def test_long_text_in_pieces(monkeypatch):
     whole = langid.grams(text)
     monkeypatch.setattr(langid, "PIECE", 16)
     assert (langid.grams(text) == whole).all()
+
+
+@pytest.mark.parametrize("kind", ["exact", "near"])
+def test_copies_do_not_take_a_group_over(spark, kind):
+    r = random.Random(11)
+    own, copied = texts(r, 120), " ".join(texts(r, 1))
+    rows, none = [(i, t, "en", "0") for i, t in enumerate(own)], len(own)
+    for percent in (60, 76, 90):
+        rows += [(i, t, "en", str(percent)) for i, t in enumerate(own)]
+        for k in range(none * percent // (100 - percent)):
+            rows.append((1000 + k, copied + (" and" * r.randint(0, 2) + " w" + "x" * r.randint(0, 6) if kind == "near" else ""), "en", str(percent)))
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).where("not base_failed").toPandas()
+    lost = got[~got.kept].groupby("source").doc_id.apply(lambda ids: (ids < 1000).sum()).to_dict()
+    kept = {s: (g.kept[g.doc_id >= 1000]).all() for s, g in got.groupby("source")}
+    assert all(lost.get(str(p), 0) <= lost.get("0", 0) + 2 for p in (60, 76, 90)), lost
+    assert all(kept.values())
