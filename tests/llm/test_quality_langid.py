@@ -135,3 +135,18 @@ def test_copies_do_not_take_a_group_over(spark, kind):
     kept = {s: (g.kept[g.doc_id >= 1000]).all() for s, g in got.groupby("source")}
     assert all(lost.get(str(p), 0) <= lost.get("0", 0) + 2 for p in (60, 76, 90)), lost
     assert all(kept.values())
+
+
+def test_repeated_lines_or_passages_alone_reject(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklm", k=6))
+    short = [f"{word()} {word()} {word()}" for _ in range(15)]
+    again = r.sample(short, 15) + r.sample(short, 15)
+    heading = ["abcabc defdef", *(" ".join(word() for _ in range(14)) for _ in range(5)), "abcabc defdef"]
+    words = texts(r, 1)[0].replace("\n", "").split() + texts(r, 1)[0].replace("\n", "").split()
+    n = len(words) * 28 // 172  # 2 n of n + len(words) words
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts(r, 200))] + [(1000, "\n".join(again), "en", "a"), (1001, "\n".join(heading), "en", "a"), (1002, " ".join(words + words[:n]), "en", "a")]
+    got = {x.doc_id: x for x in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert 2 * got[1000].n_dup_lines == 30 and got[1001].n_dup_lines == 1 and got[1002].n_dup_lines == 0
+    assert not any(got[i].base_failed for i in (1000, 1001, 1002))
+    assert [got[i].kept for i in (1000, 1001, 1002)] == [False, True, False]
