@@ -5,8 +5,8 @@ that two texts share, normalised by the geometric mean of their own numbers. LAN
 span a Nyström approximation of the kernel, in which one-versus-rest kernel ridge regression is solved. Prediction needs
 the presence vectors of a batch of texts times the landmarks' presence matrix, times one small matrix.
 
-Training reads a sample of at most SAMPLE texts per language, drawn by hash from labelled rows and, where a language has
-any, from texts of at most SAMPLE_CHARS characters; everything else reads whole texts. Letters are lower-cased and runs of
+Training reads a sample of at most SAMPLE texts per language, drawn by hash from labelled rows with letters; where a language
+has SAMPLE such texts of at most SAMPLE_CHARS characters, from these only. Everything else reads whole texts. Letters are lower-cased and runs of
 other characters count as one space, so that numbers and markup weigh nothing.
 
 Cases: a null text or one without letters is `und` with score 0; without labelled rows every text is `und`; rows repeat in
@@ -125,14 +125,15 @@ def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """A model from rows with text, lang and doc_id; only these two teach, doc_id only seeds the draw."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.length("text").alias("_len"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("_u"))
+    rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.length("text").alias("_len"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("_u"))
     short = F.col("_len") <= SAMPLE_CHARS
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     counts = counts.toPandas()
     if not len(counts):
         return fit([], [])
-    # Twice the sample is drawn from texts that are short enough (from all where a language has no such), then cut to it.
-    rates = labelled.sparkSession.createDataFrame(counts.assign(_any=counts.n_short == 0, _below=[int(min(1.0, 2.0 * sample / (s or n)) * (1 << 30)) + 1 for n, s in zip(counts.n, counts.n_short, strict=True)])[["lang", "_any", "_below"]], "lang string, _any boolean, _below bigint")
+    # Twice the sample is drawn from texts that are short enough (from all where a language has too few such), then cut to it.
+    whole = counts.n_short < sample
+    rates = labelled.sparkSession.createDataFrame(counts.assign(_any=whole, _below=[int(min(1.0, 2.0 * sample / n) * (1 << 30)) + 1 for n in counts.n.where(whole, counts.n_short)])[["lang", "_any", "_below"]], "lang string, _any boolean, _below bigint")
     drawn = rows.join(F.broadcast(rates), "lang").where((short | F.col("_any")) & (F.col("_u") < F.col("_below"))).select("lang", "text", "_u")
     drawn = drawn.mapInPandas(_usable, drawn.schema).toPandas().sort_values(["lang", "_u", "text"]).groupby("lang").head(sample)
     return fit(drawn.text.tolist(), drawn.lang.tolist(), landmarks)

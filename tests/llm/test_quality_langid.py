@@ -150,3 +150,10 @@ def test_repeated_lines_or_passages_alone_reject(spark):
     assert 2 * got[1000].n_dup_lines == 30 and got[1001].n_dup_lines == 1 and got[1002].n_dup_lines == 0
     assert not any(got[i].base_failed for i in (1000, 1001, 1002))
     assert [got[i].kept for i in (1000, 1001, 1002)] == [False, True, False]
+
+
+def test_few_short_texts_do_not_stand_for_a_language(docs_of):
+    docs = docs_of([(i, f"{'xyz zyx ' * 1100}{i}") for i in range(6)] + [(9, "123"), (10, "short one")], lang="xx").unionByName(docs_of([(20 + i, f"une {i}") for i in range(3)], lang="fr"))
+    model = langid.train(docs)
+    assert model.languages == ["fr", "xx"]
+    assert model.predict(["zyx xyz zyx"])[0] == ["xx"]
