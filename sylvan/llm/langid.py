@@ -26,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER, LANDMARKS, SAMPLE, SAMPLE_CHARS, RIDGE = 3, 128, 256, 8192, 1e-3
-#: Languages that the model tells apart at most: the most frequent ones.
-LANGUAGES = 512
 #: The score from which a language counts as found: half-way between a ridge target of -1 and 1.
 LEAST = 0.5
 #: Characters worked on at a time; a longer text is taken in overlapping pieces and its n-grams united.
@@ -127,8 +125,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
     """A model from rows with text, lang and doc_id; only these two teach, doc_id only seeds the draw."""
     rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.length("text").alias("_len"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("_u"))
     short = F.col("_len") <= SAMPLE_CHARS
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = counts.toPandas()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short")).orderBy(F.desc("n"), "lang").toPandas()
     if not len(counts):
         return fit([], [])
     # Twice the sample is drawn from texts that are short enough (from all where a language has too few such), then cut to it.

@@ -157,3 +157,9 @@ def test_few_short_texts_do_not_stand_for_a_language(docs_of):
     model = langid.train(docs)
     assert model.languages == ["fr", "xx"]
     assert model.predict(["zyx xyz zyx"])[0] == ["xx"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i) * 9} abc", f"l{i}") for i in range(520)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), landmarks=16)
+    assert len(model.languages) == 520
