@@ -6,7 +6,8 @@ the longest to the shortest; each goes into the open bin that takes it under eve
 smallest weighted norm of residual capacities (`norm`) or has the largest weighted dot product of its needs with the bin's
 residual capacities (`dot`). Pieces are dealt to groups of GROUP_PIECES by their position in a written table, so a group
 fits a task whatever repeats; bins that a group could not fill are opened again and their pieces packed in a further round
-with those of the other groups, until one group holds all that is left.
+with those of the other groups, until one group holds all that is left or a round lowers the number of the bins that it
+opened by less than the share 1 - SHRINK.
 
 Cases: a null text is empty, and a document of one end id; null and repeated doc_ids make a piece each like any other row;
 an empty table gives no rows. Extra columns are ignored.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import materialize
 
-TOKENS, END_ID, GROUP_PIECES, FILL, ROUNDS = 4096, 1, 20_000, 0.995, 4
+TOKENS, END_ID, GROUP_PIECES, FILL, SHRINK = 4096, 1, 20_000, 0.995, 0.98
 #: Weights of tokens, documents and attention cost in the choice of a bin.
 WEIGHTS = (1.0, 0.01, 0.01)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -165,11 +166,15 @@ def pack(parts: DataFrame, tokens: int = TOKENS, most_docs: int | None = None, m
         return pdf.assign(_bin=bins, offset=offsets, _fill=held[bins].astype("int64"))[[x.split()[0] for x in BINS.split(", ")]]
 
     parts, done, base = materialize(parts, "pieces"), [], 0
-    for turn in range(ROUNDS):
+    opened = None
+    while True:
         groups = max(1, -(-parts.count() // group_pieces))
         dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         packed = materialize(dealt.groupBy("_group").applyInPandas(fill, BINS), "bins")
-        last = groups == 1 or turn == ROUNDS - 1
+        last = groups == 1
+        if not last:
+            bins, left = packed.select("_group", "_bin", "_fill").distinct().agg(F.count("*"), F.count(F.when(F.col("_fill") < FILL * tokens, 1))).first()
+            last, opened = opened is not None and bins > SHRINK * opened, left
         stay = packed if last else packed.where(F.col("_fill") >= FILL * tokens)
         done.append(stay.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(base) + F.col("_group") * (1 << 20) + F.col("_bin")).cast("bigint").alias("sequence_id"), "offset"))
         if last:

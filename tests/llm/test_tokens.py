@@ -118,3 +118,10 @@ def test_packing_of_documents(docs_of):
         assert own_rows.offset.tolist() == [0, *own_rows.length.cumsum().tolist()[:-1]] and own_rows.length.sum() <= 4096
     assert out.sequence_id.nunique() <= -(-out.length.sum() // 4096) + 3
     assert packing.pack_documents(docs_of([])).collect() == []
+
+
+def test_rounds_go_on_until_one_group_is_left(spark):
+    rows = [(i, 0, 0, 1365, i) for i in range(3000)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), group_pieces=4).toPandas()
+    assert sorted(out.doc_id) == list(range(3000)) and out.groupby("sequence_id").length.sum().max() <= 4096
+    assert out.sequence_id.nunique() == 1000
