@@ -382,7 +382,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, orders: Ord
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: rk, doc_id, n_shingles, component_id (smallest doc_id that links lead to) and links (of its class)."""
+    """One row per row of docs: rk, doc_id, n_shingles and component_id (smallest doc_id that links lead to)."""
     sets = materialize(document_sets(docs), "sets")
     orders = frequent(sets)
     rows = sets.where("rk is not null").select("rk", "doc_id", "n", "s1", "s2")
@@ -416,14 +416,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not hubs:
             break
         hubs, turn = found * HUB_YIELD >= tested > 0, turn + 1
-    degree = links.select(F.col("a").alias("rk")).unionByName(links.select(F.col("b").alias("rk"))).groupBy("rk").agg(F.count("*").alias("links"))
-    named = classes.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").join(degree, "rk", "left").withColumn("component", F.coalesce("component", "rk"))
+    named = classes.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").withColumn("component", F.coalesce("component", "rk"))
     named = materialize(named, "named")
     least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes")), "least")
-    named = materialize(join_per_key(named, least, ["component"], "n_classes", named.count(), ["rk"]).select("s1", "s2", "component_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "named")
+    named = materialize(join_per_key(named, least, ["component"], "n_classes", named.count(), ["rk"]).select("s1", "s2", "component_id", "copies"), "named")
     out = join_per_key(rows.where("n > 0"), named, ["s1", "s2"], "copies", rows.count(), ["rk"])
-    alone = rows.where("n = 0").select("rk", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("links"))
-    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id", "links").unionByName(alone)
+    alone = rows.where("n = 0").select("rk", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def _unsettled(members: DataFrame, parts_of: DataFrame) -> tuple[DataFrame, bool]:

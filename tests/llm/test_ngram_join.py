@@ -97,3 +97,7 @@ def test_keep_one(docs_of):
     want = {i for _, _, i in brute(pairs) if i is not None}
     assert {r.doc_id for r in out.collect() if r.doc_id is not None} == want
     assert keep_one(docs_of([])).collect() == [] and component_table(docs_of([])).collect() == []
+
+
+def test_near_duplicates_counts_no_links(docs_of):
+    assert ngram_join.near_duplicates(docs_of([(1, None), (2, "a b c d e f g"), (3, "a b c d e f g")])).columns == ["rk", "doc_id", "n_shingles", "component_id"]
