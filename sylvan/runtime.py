@@ -42,9 +42,12 @@ _own: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, or one of our own where that is unset and Spark is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             folder = tempfile.mkdtemp(prefix="sylvan-")
@@ -67,18 +70,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized DataFrame that nothing reads any more."""
-    spark = df.sparkSession
-    root = checkpoint_dir(spark) + "/sylvan/"
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if f.startswith(root) or f.startswith(root.replace("file:///", "file:/")):
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind materialized DataFrames that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        stored = getattr(df, "stored_at", None)
+        if isinstance(stored, str):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(stored)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
