@@ -3,24 +3,28 @@
 A document is the set of its distinct five-word shingles (as 64-bit hashes). Equal sets form a class, and only classes are
 joined. Under any order of all shingles two sets of similarity t share a shingle among the first n - ceil(t * n) + 1 of
 each. The orders used here all put shingles that many documents hold last (by an estimate that misses only what is rare
-within every batch, and that never decides a result) and break ties by hashes of their own. Candidates come from an index
-of the prefixes in the first order; they must share a prefix shingle in each of the other orders, and only then are the
-sets compared.
+within every batch, and that never decides a result) and break ties by hashes of their own.
 
-Links are needed to tell components apart, so no group of the index is expanded into all pairs. A posting list of up to
-SMALL classes is paired in full. A longer one is paired with local hubs, and its members are written down. When the links
-so found have been merged into components, lists whose members are in one component are settled. The others get further
-hubs, drawn by lot, while these merge components; at the end exactly the pairs that still lie across components are compared.
-So no link between components is lost.
+The result needs components, not pairs, so no posting list is expanded into pairs. In an index of the prefixes in the first
+order the members of each list are chained by size; the components of all chains are cells, and linked sets lie in one
+cell. Most sets are alone in theirs and are done. The others are written once, as arrays of hashes, and each cell goes to
+one task, whole. There a candidate has to share prefix shingles in every order (the filters are intersected) before the sets
+are compared, and sets that are known to be in one component are not compared with each other.
 
-Cases: a text without words, or null, has an empty set and is alone; fewer words than five are one shingle; rows that
+A cell over BLOCK_BYTES is first cut finer by indexes in the other orders. What then is still over BLOCK_BYTES is cut into
+blocks of like sizes, joined within the blocks, and merged into components. One component of such a cell, the largest, is not
+compared with itself again: only the sets outside of it meet all blocks of a size that can be similar. So no link between
+components is lost, at a cost of pairs of blocks, not of rows.
+
+Cases: a text without words, or null, has an empty set and is alone; fewer words than five are one shingle; a very long text
+is hashed in pieces and may fill a block of its own; ties of the orders are broken by hashes and decide no result; rows that
 repeat a doc_id count as documents of that id; a null doc_id is never a component_id, and a component without any other has
 null; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,155 +32,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.operators.components import connected_components
-from sylvan.runtime import join_per_key, materialize
+from sylvan.operators.local import labels
+from sylvan.runtime import discard, join_per_key, materialize
 
 from .common import free_name, text_or_empty
+from .shingles import DENOMINATOR, NUMERATOR, Orders, U, links_between, links_within, mix, shingle_sets, signature
 
-WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity NUMERATOR / DENOMINATOR
-ORDERS = 3
-#: Posting lists of up to SMALL classes are paired in full.
-SMALL = 8
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
-#: While pairs across components outnumber members of unsettled lists by HUB_FACTOR, up to HUB_ROUNDS rounds draw hubs first,
-#: as long as one in HUB_YIELD of their pairs is linked.
-HUB_FACTOR, HUB_ROUNDS, HUB_YIELD = 4, 8, 10
-#: Up to so many rows of three longs are broadcast; beyond, texts are shuffled to them.
+#: Up to so many rows of a few longs are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
-#: Prefix entries for each partition of the index, bytes of text hashed at a time.
-PART_ENTRIES, CHUNK = 1 << 20, 1 << 20
+#: Prefix entries for each partition of the index, bytes of sets that one comparison loads, bytes of sets for each task.
+PART_ENTRIES, BLOCK_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 16 << 20
+#: Sizes in one step differ by sqrt(5 / 4) at most, similar ones by STEPS steps. In a chain of one size of each step, neighbours
+#: that stand for similar sets differ by 5 / 4 * sqrt(5 / 4) ** 2 = 1.5625 at most.
+STEP, STEPS, CHAIN = float(np.log(DENOMINATOR / NUMERATOR) / 2), 3, 1.6
 SETS = "rk bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens binary, counts binary"
-INDEX = "part int, tokens binary, members binary, classes binary, hot binary"
-FOUND = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, token bigint, m1 bigint, m2 bigint, size bigint"
-U = np.uint64
-_POWER, _INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MULTIPLIERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads bits (the finalizer of splitmix64)."""
-    x = (x ^ (x >> U(30))) * _MULTIPLIERS[0]
-    x = (x ^ (x >> U(27))) * _MULTIPLIERS[1]
-    return x ^ (x >> U(31))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=U) * _POWER)
-_powers = {"n": 0, "up": np.zeros(0, U), "down": np.zeros(0, U)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        n = max(n, CHUNK + (1 << 12))
-        for k, base in (("up", _POWER), ("down", _INVERSE)):
-            x = np.full(n, base, U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word, A-Z lower-cased. Hashes are differences of one polynomial over all bytes."""
-    b = np.frombuffer(data, np.uint8)
-    b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power_tables(len(b) + 1)
-    sums = np.zeros(len(b) + 1, U)
-    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _MULTIPLIERS[2]), starts
-
-
-def _set_of(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingles of a text, from the hashes of its words."""
-    n = len(words)
-    if n < WORDS:
-        return mix((words * _MULTIPLIERS[:n]).sum(keepdims=True) + U(n)) if n else words
-    x = words[: n - WORDS + 1] * _MULTIPLIERS[0]
-    for k in range(1, WORDS):
-        x = x + words[k : n - WORDS + 1 + k] * _MULTIPLIERS[k]
-    return np.unique(mix(x + U(WORDS)))
-
-
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The set of each text in turn. Texts are hashed in chunks, longer ones in pieces that end between words."""
-    held: list[bytes] = []
-    size = 0
-
-    def flush() -> Iterator[np.ndarray]:
-        words, starts = _word_hashes(b"\n".join(held))
-        at = np.cumsum([0, *(len(x) + 1 for x in held)])
-        cuts = np.searchsorted(starts, at)
-        for k in range(len(held)):
-            yield _set_of(words[cuts[k] : cuts[k + 1]])
-
-    for t in texts:
-        data = (t or "").encode("utf-8", "surrogatepass")
-        if size + len(data) > CHUNK and held:
-            yield from flush()
-            held, size = [], 0
-        if len(data) > CHUNK:
-            parts, start = [], 0
-            while start < len(data):
-                stop = start + CHUNK
-                if stop < len(data):
-                    cut = max(data.rfind(c, start, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-                    if cut < 0:
-                        after = [i for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := data.find(c, stop)) >= 0]
-                        cut = min(after, default=len(data) - 1)
-                    stop = cut + 1
-                parts.append(_word_hashes(data[start:stop])[0])
-                start = stop
-            yield _set_of(np.concatenate(parts))
-        else:
-            held.append(data)
-            size += len(data) + 1
-    if held:
-        yield from flush()
-
-
-def signature(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    n = U(len(shingles))
-    pair = np.array([mix(shingles * _MULTIPLIERS[3]).sum(), mix(shingles ^ _MULTIPLIERS[4]).sum()]) + n
-    return tuple(mix(pair).view(np.int64).tolist())
-
-
-class Orders:
-    """The global orders: by the class of frequency, then by a hash of the order's own."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        self.tokens = tokens
-        self.level = np.minimum(np.log2(counts + 1), 62).astype(U)
-
-    def key(self, shingles: np.ndarray, order: int) -> np.ndarray:
-        level = np.zeros(len(shingles), U)
-        if len(self.tokens):
-            at = np.searchsorted(self.tokens, shingles)
-            at[at == len(self.tokens)] = 0
-            level = np.where(self.tokens[at] == shingles, self.level[at], U(0))
-        return (level << U(58)) | (mix(shingles ^ _MULTIPLIERS[order]) >> U(6))
-
-    def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
-        n = len(shingles)
-        size = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-        return shingles if size >= n else shingles[np.argpartition(self.key(shingles, order), size - 1)[:size]]
-
-
-def similar_sizes(a, b):
-    return NUMERATOR * np.maximum(a, b) <= DENOMINATOR * np.minimum(a, b)
-
-
-def linked(a: np.ndarray, b: np.ndarray, orders: Orders) -> bool:
-    """Whether two sets are similar enough: prefixes in the further orders first, then the sets."""
-    if not similar_sizes(len(a), len(b)):
-        return False
-    for k in range(1, ORDERS):
-        if not len(np.intersect1d(orders.prefix(a, k), orders.prefix(b, k), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
+INDEX = "part int, tokens binary, members binary, classes binary"
+CELL_SETS = "cid bigint, cell bigint, big boolean, copies bigint, n bigint, shingles binary"
+LINKS = "a bigint, b bigint"
 
 
 def _row_key() -> Column:
@@ -184,27 +58,30 @@ def _row_key() -> Column:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """rk (key of the row), doc_id, size and signature of each row's set; and a row for each batch with its frequent shingles."""
+    """rk (key of the row), doc_id, size and signature of each row's set; and rows for each batch with its frequent shingles."""
+    names = [x.split()[0] for x in SETS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sizes, ones, twos, seen = [], [], [], {}
+            sizes, signs, seen = [], [], {}
             for s in shingle_sets(pdf.text.tolist()):
-                one, two = signature(s)
+                signs.append(signature(s))
                 sizes.append(len(s))
-                ones.append(one)
-                twos.append(two)
-                seen.setdefault((one, two), s)
-            out = pd.DataFrame({"rk": pdf.rk, "doc_id": pdf.doc_id.astype("Int64"), "n": sizes, "s1": ones, "s2": twos, "tokens": None, "counts": None})
+                seen.setdefault(signs[-1], s)
+            one, two = np.array(signs, np.int64).reshape(-1, 2).T
+            out = pd.DataFrame({"rk": pdf.rk, "doc_id": pdf.doc_id.astype("Int64"), "n": sizes, "s1": one, "s2": two, "tokens": None, "counts": None})
             yield out.astype({"n": "Int64", "rk": "Int64", "s1": "Int64", "s2": "Int64"})
             if seen:
                 tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 many = counts >= LOCAL
                 for start in range(0, int(many.sum()), 1 << 16):
                     some = slice(start, start + (1 << 16))
-                    yield pd.DataFrame({"rk": pd.array([None], "Int64"), "doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "s1": pd.array([None], "Int64"), "s2": pd.array([None], "Int64"), "tokens": [tokens[many][some].tobytes()], "counts": [counts[many][some].astype("<i8").tobytes()]})
+                    report = dict.fromkeys(names[:5], [None])
+                    report |= {"tokens": [tokens[many][some].tobytes()], "counts": [counts[many][some].astype("<i8").tobytes()]}
+                    yield pd.DataFrame(report).astype(dict.fromkeys(names[:5], "Int64"))
 
-    return docs.select(_row_key().alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, SETS)
+    rows = docs.select(_row_key().alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInPandas(run, SETS)
 
 
 def frequent(sets: DataFrame) -> Orders:
@@ -215,8 +92,10 @@ def frequent(sets: DataFrame) -> Orders:
             for t, c in zip(pdf.tokens, pdf.counts, strict=True):
                 yield pd.DataFrame({"token": np.frombuffer(t, "<i8"), "count": np.frombuffer(c, "<i8")})
 
-    found = materialize(sets.where("tokens is not null").select("tokens", "counts").mapInPandas(unpack, "token bigint, count bigint").groupBy("token").agg(F.sum("count").alias("count")), "frequent")
-    levels = found.groupBy(F.floor(F.log2("count") * 4).alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows at most
+    reports = sets.where("tokens is not null").select("tokens", "counts").mapInPandas(unpack, "token bigint, count bigint")
+    found = materialize(reports.groupBy("token").agg(F.sum("count").alias("count")), "frequent")
+    level = F.floor(F.log2("count") * 4)
+    levels = found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows at most
     total, least = 0, None
     for r in levels:
         total += r["count"]
@@ -225,247 +104,292 @@ def frequent(sets: DataFrame) -> Orders:
         least = r["level"]
     if least is None:
         return Orders(np.zeros(0, U), np.zeros(0))
-    pdf = found.where(F.floor(F.log2("count") * 4) >= least).toPandas()
+    pdf = found.where(level >= least).toPandas()
+    discard(found)
     tokens = pdf.token.to_numpy(np.int64).view(U)
     order = np.argsort(tokens)
     return Orders(tokens[order], pdf["count"].to_numpy(float)[order])
 
 
-def _pairs(sizes: np.ndarray, keys: np.ndarray, full: bool) -> list[tuple[int, int]]:
-    """Pairs of a posting list to compare: all, or each member with a hub of like size before it and with its neighbour."""
-    if full:
-        return [(i, j) for i in range(len(sizes)) for j in range(i) if similar_sizes(sizes[i], sizes[j])]
-    order = np.lexsort((keys, sizes)).tolist()
-    out, hub = [], order[0]
-    for before, i in zip(order, order[1:], strict=False):
-        if similar_sizes(sizes[i], sizes[hub]):
-            out.append((hub, i))
-            if before != hub:
-                out.append((before, i))
-        else:
-            if similar_sizes(sizes[i], sizes[before]):
-                out.append((before, i))
-            hub = i
-    return out
+def _step(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(sizes) / STEP).astype(np.int64)
+
+
+def _chained(tokens: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of neighbours in lists sorted by size, and the positions of one entry for each token and step of sizes."""
+    order = np.lexsort((members, sizes, tokens))
+    t, s, m = tokens[order], sizes[order], members[order]
+    same = t[1:] == t[:-1]
+    near = same & (s[1:] <= CHAIN * s[:-1]) & (m[1:] != m[:-1])
+    step = _step(s)
+    first = np.concatenate(([True], ~same | (step[1:] != step[:-1])))
+    return m[1:][near], m[:-1][near], order[first]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (id, least id of its component) for the pairs."""
+    if not len(a):
+        return np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.stack([a, b]), axis=1)
+    out = np.stack(labels(*pairs), axis=1)
+    return out[out[:, 0] != out[:, 1]]
 
 
-def _lists(tokens: np.ndarray) -> Iterator[tuple[int, int]]:
-    """From and to of every run of two or more equal tokens in a sorted array."""
-    edges = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True])))
-    for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-        yield int(edges[k]), int(edges[k + 1])
+#: From a batch: the id of each set, its hashes, and a number that its tokens are mixed with (0: none).
+Reader = Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray, int]]]
 
 
-def prefix_index(docs: DataFrame, orders: Orders, parts: int) -> DataFrame:
-    """Entries of the first order's prefixes, a row for each batch and partition: tokens, members (places in classes), classes
-    (s1, s2, size of each distinct set of the batch) and hot (members that stand for a list of more than SMALL in their batch).
-    Rows without classes hold in tokens what a batch has found itself (rows of FOUND)."""
-    shared = docs.sparkSession.sparkContext.broadcast(orders)
+def _sets_of_texts(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int]]:
+    for s in shingle_sets(pdf.text.tolist()):
+        if len(s) >= NUMERATOR:  # smaller sets are similar to equal ones alone
+            yield signature(s)[0], s, 0
+
+
+def _sets_of_cells(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int]]:
+    for cid, cell, shingles in zip(pdf.cid.tolist(), pdf.cell.tolist(), pdf.shingles, strict=True):
+        yield cid, np.frombuffer(shingles, U), cell
+
+
+def prefix_index(source: DataFrame, read: Reader, orders: Orders, order: int, parts: int) -> DataFrame:
+    """Entries of an order's prefixes, a row for each batch and partition: tokens, members (places in classes) and classes (id, size).
+
+    A batch chains the lists it holds itself and sends on one member for each step of sizes, so a token that all documents
+    hold costs an entry or few for each batch. Rows without classes hold in tokens the stars of a batch's chains.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: dict[tuple[int, int], int] = {}
-            classes, tokens, members = [], [], []
-            for s in shingle_sets(pdf.text.tolist()):
-                if len(s) < NUMERATOR or (sig := signature(s)) in seen:  # smaller sets are similar to equal ones alone
+            classes: dict[int, int] = {}
+            tokens, members, sizes = [], [], []
+            for name, s, cell in read(pdf):
+                if name in classes:
                     continue
-                seen[sig] = len(classes)
-                classes.append((*sig, len(s)))
-                prefix = shared.value.prefix(s, 0)
-                tokens.append(prefix)
-                members.append(np.full(len(prefix), len(classes) - 1, np.int32))
+                prefix = shared.value.prefix(s, order)
+                tokens.append(mix(prefix + U(cell % (1 << 64))) if cell else prefix)
+                members.append(np.full(len(prefix), len(classes), np.int32))
+                classes[name] = len(sizes)
+                sizes.append(len(s))
             if not classes:
                 continue
-            table = np.array(classes, np.int64)
+            table = np.array([list(classes), sizes], np.int64).T
             token, member = np.concatenate(tokens), np.concatenate(members)
-            order = np.lexsort((member, token))
-            token, member = token[order], member[order]
-            keep, hot = np.ones(len(token), bool), np.zeros(len(token), bool)
-            found = []
-            for start, stop in _lists(token):
-                if stop - start > SMALL:  # the batch pairs it and sends one member on
-                    found += _rows(table[member[start:stop]], token[start], False)
-                    keep[start + 1 : stop] = False
-                    hot[start] = True
-            token, member, hot = token[keep], member[keep], hot[keep]
+            a, b, keep = _chained(token, table[member, 1], member)
+            stars = _stars(table[a, 0], table[b, 0])
+            token, member = token[keep], member[keep]
             to = (mix(token) % U(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            by_part = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[by_part], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[p] : edges[p + 1]]
+                own = by_part[edges[p] : edges[p + 1]]
                 used, place = np.unique(member[own], return_inverse=True)
-                yield pd.DataFrame({"part": [p], "tokens": [token[own].tobytes()], "members": [place.astype("<i4").tobytes()], "classes": [table[used].tobytes()], "hot": [np.packbits(hot[own]).tobytes()]})
-            if found:
-                rows = np.array(found, np.int64)
-                to = (mix(rows[:, 4].astype(U)) % U(parts)).astype(np.int64)
-                for p in np.unique(to).tolist():
-                    yield pd.DataFrame({"part": [p], "tokens": [rows[to == p].tobytes()], "members": [b""], "classes": [b""], "hot": [b""]})
-
-    return docs.select(text_or_empty().alias("text")).mapInPandas(run, INDEX)
-
-
-def _rows(classes: np.ndarray, token, full: bool) -> list[tuple[int, ...]]:
-    """Rows of FOUND for a posting list: its pairs, and unless paired in full its members."""
-    token = int(np.int64(np.uint64(token).view(np.int64)))
-    out = []
-    for i, j in _pairs(classes[:, 2], classes[:, 0], full):
-        a, b = sorted((tuple(classes[i, :2].tolist()), tuple(classes[j, :2].tolist())))
-        out.append((*a, *b, token, 0, 0, -1))
-    if not full:
-        out += [(0, 0, 0, 0, token, int(c[0]), int(c[1]), int(c[2])) for c in classes.tolist()]
-    return out
-
+                row = {"part": p, "tokens": token[own].tobytes(), "members": place.astype("<i4").tobytes(), "classes": table[used].tobytes()}
+                yield pd.DataFrame([row])
+            if len(stars):
+                part = int(np.uint64(stars[0, 0].view(U)) % U(parts))
+                yield pd.DataFrame([{"part": part, "tokens": stars.tobytes(), "members": b"", "classes": b""}])
 
-def _frame(rows: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(rows.reshape(-1, 8), columns=[x.split()[0] for x in FOUND.split(", ")])
+    return source.mapInPandas(run, INDEX)
 
 
-def candidates(index: DataFrame) -> DataFrame:
-    """Pairs of classes to compare (size -1), and members of posting lists that weren't paired in full (size 0 or more)."""
+def chains(index: DataFrame) -> DataFrame:
+    """a, b: pairs of ids whose components are the cells of the index."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.classes.map(len) == 0
-        pairs, out = set(), [tuple(r) for x in pdf.tokens[own] for r in np.frombuffer(x, "<i8").reshape(-1, 8).tolist()]
-        pdf = pdf[~own]
-        if not len(pdf):
-            return _frame(np.array(out, np.int64))
-        tokens = [np.frombuffer(x, "<u8") for x in pdf.tokens]
-        classes = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in pdf.classes]
-        base = np.cumsum([0, *map(len, classes)])
-        members = np.concatenate([np.frombuffer(m, "<i4").astype(np.int64) + b for m, b in zip(pdf.members, base, strict=False)])
-        hot = np.concatenate([np.unpackbits(np.frombuffer(h, np.uint8))[: len(t)].astype(bool) for h, t in zip(pdf.hot, tokens, strict=True)])
-        table, place = np.unique(np.concatenate(classes), axis=0, return_inverse=True)
-        token, members = np.concatenate(tokens), place.reshape(-1)[members]
-        order = np.lexsort((members, token))
-        token, members, hot = token[order], members[order], hot[order]
-        for start, stop in _lists(token):
-            own = np.unique(members[start:stop])
-            if len(own) < 2:
-                if hot[start:stop].any() and stop - start > 1:
-                    out += [r for r in _rows(table[own], token[start], False)]
-                continue
-            full = len(own) <= SMALL and not hot[start:stop].any()
-            for r in _rows(table[own], token[start], full):
-                if r[7] >= 0:
-                    out.append(r)
-                elif r[:4] not in pairs:
-                    pairs.add(r[:4])
-                    out.append(r)
-        return _frame(np.array(out, np.int64) if out else np.zeros((0, 8), np.int64))
-
-    return index.groupBy("part").applyInPandas(merge, FOUND)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, orders: Orders) -> DataFrame:
-    """The pairs (a, b: rk of a class's first row) that are linked, from the texts of these rows."""
-    ends = pairs.select(F.col("a").alias("rk"), F.lit(1).alias("_a")).unionByName(pairs.select(F.col("b").alias("rk"), F.lit(0).alias("_a")))
-    ends = materialize(ends.groupBy("rk").agg(F.sum("_a").alias("n_a"), F.sum(1 - F.col("_a")).alias("n_b")), "ends")
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    rows = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(few, "rk")
-    texts = materialize(rows.groupBy("rk").agg(F.first("text").alias("text"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")), "texts")
-    total = pairs.count()
-    side = lambda c: texts.select(F.col("rk").alias(c), F.col("text").alias(f"text_{c}"), f"n_{c}")
-    both = join_per_key(pairs, side("b"), ["b"], "n_b", total, ["a"]).drop("n_b")
-    both = join_per_key(both, side("a"), ["a"], "n_a", total, ["b"]).drop("n_a")
-    shared = docs.sparkSession.sparkContext.broadcast(orders)
+        done = pdf.classes.map(len) == 0
+        stars = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.tokens[done]]
+        pdf = pdf[~done]
+        if len(pdf):
+            tokens = np.concatenate([np.frombuffer(x, "<u8") for x in pdf.tokens])
+            classes = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.classes]
+            base = np.cumsum([0, *map(len, classes)])
+            members = np.concatenate([np.frombuffer(m, "<i4").astype(np.int64) + b for m, b in zip(pdf.members, base, strict=False)])
+            table = np.concatenate(classes)[members]
+            a, b, _ = _chained(tokens, table[:, 1], table[:, 0])
+            stars.append(np.stack([a, b], axis=1))
+        found = np.concatenate(stars)
+        found = _stars(found[:, 0], found[:, 1])
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return index.groupBy("part").applyInPandas(merge, LINKS)
+
+
+def cells(source: DataFrame, read: Reader, orders: Orders, order: int, parts: int) -> DataFrame:
+    """id and component (cell) of every set that shares a prefix token of the order with another."""
+    found = materialize(chains(prefix_index(source, read, orders, order, parts)), "chains")
+    out = materialize(connected_components(found, "a", "b"), "cells")
+    discard(found)
+    return out
+
+
+def _parts(entries: int) -> int:
+    return max(entries // PART_ENTRIES + 1, min(32, entries // 250_000 + 1))
+
+
+def cell_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """The set of each class in need (rk, cid, s1, cell, big, copies), from the text of the class's first row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # classes of this task
         for pdf in batches:
-            own = {}
-            for k, t in (("a", "text_a"), ("b", "text_b")):
-                first = pdf.drop_duplicates(k)
-                own |= dict(zip(first[k].tolist(), shingle_sets(first[t].tolist()), strict=True))
-            keep = [linked(own[a], own[b], shared.value) for a, b in zip(pdf.a.tolist(), pdf.b.tolist(), strict=True)]
-            yield pdf.loc[keep, ["a", "b"]]
+            pdf = pdf[~pdf.cid.isin(seen)].drop_duplicates("cid")
+            seen.update(pdf.cid.tolist())
+            sets = list(shingle_sets(pdf.text.tolist()))
+            own = np.array([signature(s)[0] for s in sets], np.int64) == pdf.s1.to_numpy()
+            out = pdf[["cid", "cell", "big", "copies"]].assign(n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
+            yield out[own]
+
+    few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    texts = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(few, "rk")
+    return texts.select("cid", "s1", "cell", "big", "copies", "text").mapInPandas(run, CELL_SETS)
+
+
+def _one_each(sets: DataFrame) -> DataFrame:
+    """sets with one row for each class: only a class of several rows can be there twice, from tasks that hold equal rows of it."""
+    return sets.where("copies = 1").unionByName(sets.where("copies > 1").dropDuplicates(["cid"]))
+
+
+def _bytes() -> Column:
+    return F.col("n") * 8 + 64
+
+
+def _links_of_blocks(sets: DataFrame, block: str, total: int, orders: Orders) -> DataFrame:
+    """a, b (cid): links that span the components within each block of sets. Whole blocks are dealt to tasks of some TASK_BYTES."""
+    shared = sets.sparkSession.sparkContext.broadcast(orders)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby("block", sort=False):
+            ids = own.cid.tolist()
+            out += [(ids[x], ids[y]) for x, y in links_within([np.frombuffer(s, U) for s in own.shingles], shared.value)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    bins = max(total // TASK_BYTES + 1, min(64, total // (TASK_BYTES // 16) + 1))
+    dealt = sets.select(F.pmod(F.xxhash64(block), F.lit(bins)).alias("bin"), F.col(block).alias("block"), "cid", "shingles")
+    return dealt.groupBy("bin").applyInPandas(run, LINKS)
+
+
+def _links_of_big_cells(sets: DataFrame, orders: Orders) -> list[DataFrame]:
+    """Links that span the components of cells over BLOCK_BYTES."""
+    written = [sets]
+    for order in (1, 2):
+        entries = sets.agg(F.sum("n")).first()[0] or 0
+        finer = cells(sets, _sets_of_cells, orders, order, _parts(entries // DENOMINATOR))
+        few = F.broadcast(finer) if finer.count() <= BROADCAST_ROWS else finer
+        sets = sets.drop("cell").join(few.select(F.col("id").alias("cid"), F.col("component").alias("cell")), "cid")
+        sets = materialize(sets.select("cid", "cell", "n", "shingles"), "big_cells")
+        written += [finer, sets]
+    step = F.floor(F.log("n") / F.lit(STEP)).cast("int")
+    sized = sets.groupBy("cell").agg(F.sum(_bytes()).alias("cell_bytes")).join(
+        sets.groupBy("cell", step.alias("step")).agg(F.sum(_bytes()).alias("step_bytes")), "cell"
+    )
+    whole = F.col("cell_bytes") <= BLOCK_BYTES
+    sized = materialize(sized.select("cell", "step", whole.alias("whole"), F.ceil(F.col("step_bytes") / BLOCK_BYTES).alias("parts")), "steps")
+    part = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    block = F.when(F.col("whole"), F.xxhash64("cell")).otherwise(F.xxhash64("cell", "step", part))
+    sets = materialize(sets.withColumn("step", step).join(sized, ["cell", "step"]).withColumn("block", block), "blocks")
+    total = sets.agg(F.sum(_bytes())).first()[0] or 0
+    links = materialize(_links_of_blocks(sets, "block", total, orders), "links")
+    split = sets.where(~F.col("whole"))
+    out = [links]
+    if split.limit(1).count():
+        out.append(materialize(_links_across(split, links, orders), "links"))
+    for df in (*written[1:], sized, sets):
+        discard(df)
+    return out
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a bigint, b bigint")
+def _links_across(sets: DataFrame, links: DataFrame, orders: Orders) -> DataFrame:
+    """Links between components of cells that were joined in blocks.
+
+    Of each cell the sets outside of its largest component are dealt anew into blocks, which meet the blocks of that
+    component and each other, where their steps of size can hold similar sets.
+    """
+    parts_of = connected_components(links, "a", "b").select(F.col("id").alias("cid"), "component")
+    rows = sets.select("cid", "cell", "step", "n").join(parts_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    rows = materialize(rows, "placed")
+    members = rows.groupBy("cell", "component").agg(F.count("*").alias("m"))
+    largest = members.groupBy("cell").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    rows = rows.join(largest, "cell").withColumn("main", F.col("component") == F.col("largest")).drop("largest")
+    # Cells that are one component are settled.
+    open_cells = members.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1").select("cell")
+    rows = materialize(rows.join(open_cells, "cell", "left_semi"), "placed")
+    counts = rows.groupBy("cell", "main", "step").agg(F.ceil(F.sum(_bytes()) / BLOCK_BYTES).alias("parts"))
+    counts = materialize(counts, "counts")
+    blocks = counts.select("cell", "main", "step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    key = F.struct("main", "step", "part")
+    blocks = blocks.withColumn("key", key)
+    a, b = blocks.where(~F.col("main")).alias("a"), blocks.alias("b")
+    fits = (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.step") - F.col("b.step")) <= STEPS)
+    once = F.col("b.main") | (F.col("a.key") <= F.col("b.key"))
+    meets = a.join(b, fits & once).select(F.col("a.cell").alias("cell"), F.col("a.key").alias("one"), F.col("b.key").alias("two"))
+    meets = materialize(meets.withColumn("pair", F.monotonically_increasing_id()), "meets")
+    same = F.col("one") == F.col("two")
+    ends = meets.select("cell", F.col("one").alias("key"), "pair", F.when(same, 2).otherwise(0).alias("side"))
+    ends = ends.unionByName(meets.where(~same).select("cell", F.col("two").alias("key"), "pair", F.lit(1).alias("side")))
+    place = rows.join(counts, ["cell", "main", "step"])
+    part = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts"))
+    place = place.select("cid", "component", "cell", F.struct("main", "step", part.alias("part")).alias("key"))
+    dealt = sets.select("cid", "shingles").join(place, "cid").join(ends, ["cell", "key"]).select("pair", "side", "cid", "component", "shingles")
+    shared = sets.sparkSession.sparkContext.broadcast(orders)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side = pdf.cid.to_numpy(), pdf.side.to_numpy()
+        own = [np.frombuffer(s, U) for s in pdf.shingles]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found = links_between(own, pdf.component.to_numpy(), left, right, shared.value)
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("pair").applyInPandas(run, LINKS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: rk, doc_id, n_shingles and component_id (smallest doc_id that links lead to)."""
+    """One row per row of docs: rk, doc_id, n_shingles, component_id (smallest doc_id that links lead to) and component.
+
+    component tells components apart where rows repeat a doc_id; it is null for rows without shingles.
+    """
     sets = materialize(document_sets(docs), "sets")
     orders = frequent(sets)
     rows = sets.where("rk is not null").select("rk", "doc_id", "n", "s1", "s2")
     # The first row of a class stands for it; a null doc_id comes last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rk").alias("rk")))
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(first.alias("f"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("s1", "s2", F.col("f.rk").alias("rk"), F.col("f.id").alias("first_id"), "n", "copies"), "classes")
-    entries = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, entries // DENOMINATOR // PART_ENTRIES + 1) if entries else 1
-    parts = max(parts, min(64, entries // 100_000 + 1))
-    found = materialize(candidates(prefix_index(docs, orders, parts)), "candidates")
-    name = lambda s, c: classes.select(F.col("s1").alias(f"{s}1"), F.col("s2").alias(f"{s}2"), F.col("rk").alias(c))
-    pairs = found.where("size < 0").select("a1", "a2", "b1", "b2").distinct().join(name("a", "a"), ["a1", "a2"]).join(name("b", "b"), ["b1", "b2"])
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    links = materialize(_verified(pairs, docs, classes, orders), "links")
-    members = materialize(found.where("size >= 0").select("token", F.col("m1").alias("s1"), F.col("m2").alias("s2")).distinct().join(classes.select("s1", "s2", "rk", "n"), ["s1", "s2"]).select("token", "rk", "n"), "members")
-    parts_of = materialize(connected_components(links, "a", "b"), "components")
-    hubs, turn = True, 0
-    while True:
-        left, many = _unsettled(members, parts_of)
-        hubs = hubs and many and turn < HUB_ROUNDS
-        more = _hub_pairs(left, pairs, turn) if hubs else _across(left, pairs)
-        tested, found = more.count(), 0
-        if tested:
-            new = materialize(_verified(more, docs, classes, orders), "links")
-            found = new.count()
-            links = materialize(links.unionByName(new), "links")
-            pairs = materialize(pairs.unionByName(more), "pairs")
-        if found:
-            parts_of = materialize(connected_components(links, "a", "b"), "components")
-        if not hubs:
-            break
-        hubs, turn = found * HUB_YIELD >= tested > 0, turn + 1
-    named = classes.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").withColumn("component", F.coalesce("component", "rk"))
-    named = materialize(named, "named")
-    least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes")), "least")
-    named = materialize(join_per_key(named, least, ["component"], "n_classes", named.count(), ["rk"]).select("s1", "s2", "component_id", "copies"), "named")
+    grouped = rows.where("n > 0").groupBy("s1", "s2").agg(first.alias("f"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    cid = F.monotonically_increasing_id().alias("cid")
+    classes = materialize(grouped.select(cid, "s1", "s2", F.col("f.rk").alias("rk"), F.col("f.id").alias("first_id"), "n", "copies"), "classes")
+    entries = (classes.agg(F.sum("n")).first()[0] or 0) // DENOMINATOR
+    found = cells(docs.select(text_or_empty().alias("text")), _sets_of_texts, orders, 0, _parts(entries))
+
+    need = classes.join(found.select(F.col("id").alias("s1"), F.col("component").alias("cell")), "s1")
+    need = materialize(need.select("rk", "cid", "s1", "cell", "copies", "n"), "need")
+    sizes = materialize(need.groupBy("cell").agg(F.count("*").alias("m"), F.sum(_bytes()).alias("cell_bytes")), "cell_sizes")
+    in_cells, total = need.count(), need.agg(F.sum(_bytes())).first()[0] or 0
+    big = sizes.select("cell", "m", (F.col("cell_bytes") > BLOCK_BYTES).alias("big"))
+    marked = materialize(join_per_key(need.drop("n"), big, ["cell"], "m", in_cells, ["cid"]).drop("m"), "marked")
+    own = materialize(cell_sets(docs, marked), "cell_sets")
+    links = [materialize(_links_of_blocks(_one_each(own.where(~F.col("big"))), "cell", total, orders), "links")]
+    if sizes.where(F.col("cell_bytes") > BLOCK_BYTES).limit(1).count():
+        large = materialize(_one_each(own.where("big")).select("cid", "cell", "n", "shingles"), "big_cells")
+        links += _links_of_big_cells(large, orders)
+        discard(large)
+    for df in (found, need, marked, sizes, own):
+        discard(df)
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    parts_of = connected_components(every, "a", "b").select(F.col("id").alias("cid"), "component")
+
+    named = classes.join(parts_of, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = materialize(named.select("s1", "s2", "component", "first_id", "copies"), "named")
+    for df in (*links, classes):
+        discard(df)
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_classes"))
+    least = materialize(least, "least")
+    named = materialize(join_per_key(named, least, ["component"], "n_classes", named.count(), ["s1"]), "named")
+    named = named.select("s1", "s2", "component_id", "component", "copies")
     out = join_per_key(rows.where("n > 0"), named, ["s1", "s2"], "copies", rows.count(), ["rk"])
-    alone = rows.where("n = 0").select("rk", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
-
-
-def _unsettled(members: DataFrame, parts_of: DataFrame) -> tuple[DataFrame, bool]:
-    """token, rk, n and component of the posting lists that hold several components, and whether pairs across are many more than members."""
-    placed = members.join(parts_of.select(F.col("id").alias("rk"), "component"), "rk", "left").withColumn("component", F.coalesce("component", "rk"))
-    placed = materialize(placed, "placed")
-    sizes = placed.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("k"))
-    open_lists = materialize(sizes.where("k > 1"), "open")
-    across, rows = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
-    left = materialize(join_per_key(placed, open_lists.select("token", F.col("m").cast("bigint").alias("m")), ["token"], "m", max(1, int(rows or 0)), ["rk"]).drop("m"), "unsettled")
-    return left, bool(across) and across > HUB_FACTOR * rows
-
-
-def _untested(pairs: DataFrame, tested: DataFrame, name: str) -> DataFrame:
-    some = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialize(some.join(done, ["a", "b"], "left_anti"), name)
-
-
-def _similar(a: str, b: str) -> Column:
-    return (F.col(a) * NUMERATOR <= F.col(b) * DENOMINATOR) & (F.col(b) * NUMERATOR <= F.col(a) * DENOMINATOR)
-
-
-def _hub_pairs(left: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Each member of an unsettled list with a member of another component, drawn anew for every list and turn: no more pairs than members."""
-    draw = F.xxhash64("rk", "token", F.lit(turn))
-    hubs = left.groupBy("token").agg(F.min_by(F.struct("rk", "n", "component"), draw).alias("h"), F.count("*").alias("m"))
-    hubs = materialize(hubs.select("token", F.col("h.rk").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"), "m"), "hubs")
-    pairs = join_per_key(left, hubs, ["token"], "m", left.count(), ["rk"]).where(F.col("component") != F.col("hub_component")).where(_similar("n", "hub_n"))
-    return _untested(pairs.select(F.col("rk").alias("a"), F.col("hub").alias("b")), tested, "hub_pairs")
-
-
-def _across(left: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of members of an unsettled posting list that lie in different components and weren't compared yet.
-
-    Two classes may share many lists; a pair is made in that of their least common shingle only.
-    """
-    lists = left.groupBy("rk").agg(F.collect_set("token").alias("lists"))
-    own = materialize(left.join(lists, "rk"), "across_lists")
-    l, r = own.alias("l"), own.alias("r")
-    first = F.array_min(F.array_intersect("l.lists", "r.lists")) == F.col("l.token")
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")) & _similar("l.n", "r.n") & first)
-    return _untested(pairs.select(F.col("l.rk").alias("a"), F.col("r.rk").alias("b")), tested, "across")
+    none = F.lit(None).cast("bigint")
+    alone = rows.where("n = 0").select("rk", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("component"))
+    return out.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component").unionByName(alone)
 
 
 def component_table(docs: DataFrame) -> DataFrame:
@@ -475,11 +399,17 @@ def component_table(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns unchanged, that come first in their component: the one with the smallest doc_id stays.
 
-    Rows that can't be told from it by doc_id and text stay with it, rows without an id in an own component stay too.
+    Of rows that repeat this doc_id with other texts the one with the least key stays; rows that can't be told from it by
+    doc_id and text stay with it. Rows without shingles, and components without any doc_id, keep a row each way too. A very
+    long text, a null in another column, an empty table and clashing names need no care: only doc_id and text are read.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows that repeat the doc_id with another text: the least key stays.
-    best = found.groupBy("doc_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("rk")).alias("own")).agg(F.min("rk").alias("_rk")).select("_rk").distinct()
+    found = materialize(near_duplicates(docs).where("component is not null"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rk").alias("rk")))
+    best = found.groupBy("component").agg(first.alias("f")).select(F.col("f.rk").alias("_rk")).distinct()
+    gone = found.select(F.col("rk").alias("_rk")).distinct().join(best, "_rk", "left_anti")
+    gone = materialize(gone, "gone")
+    discard(found)
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     own = free_name(docs, "_own")
     rows = docs.withColumn(own, _row_key())
-    return rows.join(best, rows[own] == best["_rk"], "left_semi").drop(own)
+    return rows.join(few, rows[own] == few["_rk"], "left_anti").drop(own)

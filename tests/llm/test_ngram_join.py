@@ -4,17 +4,19 @@ import re
 import numpy as np
 import pytest
 
-from sylvan.llm import ngram_join
-from sylvan.llm.ngram_join import component_table, keep_one, shingle_sets, signature
+from sylvan.llm import ngram_join, shingles
+from sylvan.llm.ngram_join import component_table, keep_one
+from sylvan.llm.shingles import shingle_sets, signature
+from sylvan.operators.local import labels
 
 
-def shingles(text):
+def brute_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
 def brute(pairs):
-    sets = [shingles(t) for _, t in pairs]
+    sets = [brute_set(t) for _, t in pairs]
     up = list(range(len(pairs)))
 
     def find(x):
@@ -62,30 +64,56 @@ def make(seed):
     return list(enumerate(texts)) + [(None, texts[3]), (3, texts[3]), (5, "entirely another text of a repeated id here"), (7000, "v " * 5000), (7001, " ".join(words(r, 30000)))]
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_components_are_those_of_all_pairs(docs_of, monkeypatch, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
-    pairs = make(small)
+def test_components_are_those_of_all_pairs(docs_of):
+    pairs = make(8)
     got = sorted(map(tuple, component_table(docs_of(pairs)).collect()), key=repr)
     assert got == brute(pairs)
 
 
-def test_posting_lists_that_hubs_do_not_settle():
-    """Hub pairs never replace a comparison: members of a list that isn't paired in full are all written down."""
-    classes = np.array([[k, k, n] for k, n in enumerate([100, 100, 90, 80, 60])], np.int64)
-    rows = ngram_join._rows(classes, np.uint64(9), False)
-    assert {r[5] for r in rows if r[7] >= 0} == set(range(5))
-    assert all(r[4] == 9 for r in rows)
+@pytest.mark.parametrize("block", [2000, 8000])
+def test_components_by_blocks(docs_of, monkeypatch, block):
+    """Cells over the bound are refined, joined in blocks, and across blocks."""
+    calls = []
+    across = ngram_join._links_across
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ngram_join, "_links_across", lambda *a: calls.append(1) or across(*a))
+    pairs = make(9)
+    got = sorted(map(tuple, component_table(docs_of(pairs)).collect()), key=repr)
+    assert got == brute(pairs) and calls
+
+
+def test_links_of_a_task_span_the_components_of_all_pairs():
+    r = np.random.default_rng(5)
+    base = r.integers(1, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        own = base.copy()
+        own[r.integers(0, 60, r.integers(0, 9))] = r.integers(1, 1 << 62, 1).astype(np.uint64)
+        sets.append(np.unique(own[: r.integers(45, 61)]))
+    orders = shingles.Orders(np.sort(base)[:30], np.arange(30.0) + 4)
+    linked = [(i, j) for i in range(60) for j in range(i) if 5 * len(a := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(a))]
+    found = shingles.links_within(sets, orders)
+    left, right = np.arange(0, 60, 2), np.arange(1, 60, 2)
+    halves = [(left[i], left[j]) for i, j in shingles.links_within([sets[k] for k in left], orders)]
+    halves += [(right[i], right[j]) for i, j in shingles.links_within([sets[k] for k in right], orders)]
+    halves += shingles.links_between(sets, np.arange(60), left, right, orders)
+
+    def parts(pairs):
+        a, b = np.array(pairs).T
+        return [x.tolist() for x in labels(np.concatenate([a, np.arange(60)]), np.concatenate([b, np.arange(60)]))]
+
+    assert parts(linked) == parts(found) == parts(halves)
+    assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in linked}
 
 
 def test_long_texts_in_pieces(monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    monkeypatch.setattr(shingles, "CHUNK", 64)
     r = random.Random(2)
     texts = ["", None, "z" * 300, " ".join(words(r, 200)), "a\tb\nc\x0bd\x0ce\rf", "y" * 200 + " " + "Q " * 90, "ÄÖ é " * 40]
     small = list(shingle_sets(texts))
-    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 20)
+    monkeypatch.setattr(shingles, "CHUNK", 1 << 20)
     for t, a, b in zip(texts, small, shingle_sets(texts), strict=True):
-        assert (a == b).all() and len(a) == len(shingles(t))
+        assert (a == b).all() and len(a) == len(brute_set(t))
     assert signature(small[3]) != signature(small[4])
 
 
@@ -99,5 +127,17 @@ def test_keep_one(docs_of):
     assert keep_one(docs_of([])).collect() == [] and component_table(docs_of([])).collect() == []
 
 
-def test_near_duplicates_counts_no_links(docs_of):
-    assert ngram_join.near_duplicates(docs_of([(1, None), (2, "a b c d e f g"), (3, "a b c d e f g")])).columns == ["rk", "doc_id", "n_shingles", "component_id"]
+def test_repeated_ids_keep_each_component(docs_of):
+    """Two unlinked texts under one doc_id are two components; both stay."""
+    text, other = " ".join(map(str, range(40))), " ".join(map(str, range(100, 150)))
+    docs = docs_of([(1, text), (1, other), (2, text), (3, None), (4, None), (None, "x y z"), (None, "x  y z")])
+    kept = sorted([(r.doc_id, r.text) for r in keep_one(docs).collect()], key=repr)
+    assert sorted(kept, key=repr) == sorted([(1, text), (1, other), (3, None), (4, None), kept[-1]], key=repr) and kept[-1][0] is None
+
+
+def test_one_group_holds_most_rows(docs_of):
+    """Near copies around the limit, most of all rows, in a number that pairs of rows would show."""
+    r = random.Random(11)
+    base = words(r, 60)
+    pairs = [(k, edited(r, base, r.randint(0, 4))) for k in range(500)] + [(500 + k, " ".join(words(r, 30))) for k in range(100)]
+    assert sorted(map(tuple, component_table(docs_of(pairs)).collect()), key=repr) == brute(pairs)
