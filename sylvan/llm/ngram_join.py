@@ -5,11 +5,13 @@ joined. Under any order of all shingles two sets of similarity t share a shingle
 each. The orders used here all put shingles that many documents hold last (by an estimate that misses only what is rare
 within every batch, and that never decides a result) and break ties by hashes of their own.
 
-The result needs components, not pairs, so no posting list is expanded into pairs. In an index of the prefixes in the first
-order the members of each list are chained by size; the components of all chains are cells, and linked sets lie in one
-cell. Most sets are alone in theirs and are done. The others are written once, as arrays of hashes, and each cell goes to
-one task, whole. There a candidate has to share prefix shingles in every order (the filters are intersected) before the sets
-are compared, and sets that are known to be in one component are not compared with each other.
+The result needs components, not pairs, so no posting list is expanded into pairs. In an index of the first order the members
+of each list are chained by size; the components of all chains are cells, and linked sets lie in one cell. A list there is
+of three shingles that follow each other in the order, in a prefix that is longer for it: two long texts that share a
+passage often have single shingles of it in their prefixes, hardly ever three in a row. Most sets are alone in their cell
+and are done. The others are written once, as arrays of hashes, and each cell goes to one task, whole. There a candidate has
+to share prefix shingles in every order (the filters are intersected) before the sets are compared, and sets that are known
+to be in one component are not compared with each other.
 
 A cell over BLOCK_BYTES is first cut finer by indexes in the other orders. What then is still over BLOCK_BYTES is cut into
 blocks of like sizes, joined within the blocks, and merged into components. One component of such a cell, the largest, is not
@@ -36,7 +38,7 @@ from sylvan.operators.local import labels
 from sylvan.runtime import discard, join_per_key, materialize
 
 from .common import free_name, text_or_empty
-from .shingles import DENOMINATOR, NUMERATOR, Orders, U, links_between, links_within, mix, shingle_sets, signature
+from .shingles import DENOMINATOR, NUMERATOR, RUN, Orders, U, links_between, links_within, mix, shingle_sets, signature
 
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
@@ -48,7 +50,7 @@ PART_ENTRIES, BLOCK_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 16 << 20
 #: that stand for similar sets differ by 5 / 4 * sqrt(5 / 4) ** 2 = 1.5625 at most.
 STEP, STEPS, CHAIN = float(np.log(DENOMINATOR / NUMERATOR) / 2), 3, 1.6
 SETS = "rk bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, tokens binary, counts binary"
-INDEX = "part int, tokens binary, members binary, classes binary"
+INDEX = "part int, tokens binary, counts binary, classes binary"
 CELL_SETS = "cid bigint, cell bigint, big boolean, copies bigint, n bigint, shingles binary"
 LINKS = "a bigint, b bigint"
 
@@ -116,14 +118,19 @@ def _step(sizes: np.ndarray) -> np.ndarray:
 
 
 def _chained(tokens: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of neighbours in lists sorted by size, and the positions of one entry for each token and step of sizes."""
-    order = np.lexsort((members, sizes, tokens))
+    """Pairs of neighbours in the lists of equal tokens sorted by size, and the positions of one entry for each token and step of sizes."""
+    order = np.argsort(tokens)
+    t = tokens[order]
+    same = np.concatenate(([False], t[1:] == t[:-1], [False]))
+    listed = same[1:] | same[:-1]
+    single, order = order[~listed], order[listed]
+    order = order[np.lexsort((members[order], sizes[order], tokens[order]))]
     t, s, m = tokens[order], sizes[order], members[order]
     same = t[1:] == t[:-1]
     near = same & (s[1:] <= CHAIN * s[:-1]) & (m[1:] != m[:-1])
     step = _step(s)
-    first = np.concatenate(([True], ~same | (step[1:] != step[:-1])))
-    return m[1:][near], m[:-1][near], order[first]
+    first = np.concatenate(([True], ~same | (step[1:] != step[:-1])))[: len(s)]
+    return m[1:][near], m[:-1][near], np.concatenate((single, order[first]))
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,44 +157,47 @@ def _sets_of_cells(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, int]]:
         yield cid, np.frombuffer(shingles, U), cell
 
 
-def prefix_index(source: DataFrame, read: Reader, orders: Orders, order: int, parts: int) -> DataFrame:
-    """Entries of an order's prefixes, a row for each batch and partition: tokens, members (places in classes) and classes (id, size).
+def run_index(source: DataFrame, read: Reader, orders: Orders, order: int, parts: int) -> DataFrame:
+    """Entries of the runs in an order's prefixes, a row for each batch and partition: classes (id, size), entries of each, tokens.
 
-    A batch chains the lists it holds itself and sends on one member for each step of sizes, so a token that all documents
-    hold costs an entry or few for each batch. Rows without classes hold in tokens the stars of a batch's chains.
+    A token is 32 bits of a run's hash, besides its partition: runs that clash make cells coarser and no more. A batch chains
+    the lists it holds itself and sends on one member for each step of sizes, so a run that all documents hold costs an
+    entry or few for each batch. Rows without classes hold in tokens the stars of a batch's chains.
     """
     shared = source.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            classes: dict[int, int] = {}
-            tokens, members, sizes = [], [], []
+            known: dict[int, int] = {}
+            tokens, sizes = [], []
             for name, s, cell in read(pdf):
-                if name in classes:
+                if name in known:
                     continue
-                prefix = shared.value.prefix(s, order)
-                tokens.append(mix(prefix + U(cell % (1 << 64))) if cell else prefix)
-                members.append(np.full(len(prefix), len(classes), np.int32))
-                classes[name] = len(sizes)
-                sizes.append(len(s))
-            if not classes:
+                own = shared.value.runs(s, order)
+                tokens.append(mix(own + U(cell % (1 << 64))))
+                known[name] = len(s)
+                sizes.append(len(own))
+            if not known:
                 continue
-            table = np.array([list(classes), sizes], np.int64).T
-            token, member = np.concatenate(tokens), np.concatenate(members)
+            table = np.array([list(known), list(known.values())], np.int64).T
+            token, member = np.concatenate(tokens), np.repeat(np.arange(len(table)), sizes)
             a, b, keep = _chained(token, table[member, 1], member)
             stars = _stars(table[a, 0], table[b, 0])
             token, member = token[keep], member[keep]
-            to = (mix(token) % U(parts)).astype(np.int64)
-            by_part = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by_part], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)).tolist():
-                own = by_part[edges[p] : edges[p + 1]]
-                used, place = np.unique(member[own], return_inverse=True)
-                row = {"part": p, "tokens": token[own].tobytes(), "members": place.astype("<i4").tobytes(), "classes": table[used].tobytes()}
-                yield pd.DataFrame([row])
+            # Entries by partition, then by class.
+            place = (token % U(parts)).astype(np.int64) * len(table) + member
+            by_place = np.argsort(place)
+            place, token = place[by_place], (token[by_place] >> U(32)).astype("<u4")
+            starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+            part, member = np.divmod(place[starts[:-1]], len(table))
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            out = {"part": part[cuts[:-1]], "tokens": [token[starts[i] : starts[j]].tobytes() for i, j in spans]}
+            out["counts"] = [np.diff(starts[i : j + 1]).astype("<i4").tobytes() for i, j in spans]
+            out["classes"] = [table[member[i:j]].tobytes() for i, j in spans]
+            yield pd.DataFrame(out)
             if len(stars):
-                part = int(np.uint64(stars[0, 0].view(U)) % U(parts))
-                yield pd.DataFrame([{"part": part, "tokens": stars.tobytes(), "members": b"", "classes": b""}])
+                yield pd.DataFrame([{"part": int(stars[0, 0]) % parts, "tokens": stars.tobytes(), "counts": b"", "classes": b""}])
 
     return source.mapInPandas(run, INDEX)
 
@@ -197,35 +207,35 @@ def chains(index: DataFrame) -> DataFrame:
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         done = pdf.classes.map(len) == 0
-        stars = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.tokens[done]]
+        found = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.tokens[done]]
         pdf = pdf[~done]
         if len(pdf):
-            tokens = np.concatenate([np.frombuffer(x, "<u8") for x in pdf.tokens])
-            classes = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.classes]
-            base = np.cumsum([0, *map(len, classes)])
-            members = np.concatenate([np.frombuffer(m, "<i4").astype(np.int64) + b for m, b in zip(pdf.members, base, strict=False)])
-            table = np.concatenate(classes)[members]
-            a, b, _ = _chained(tokens, table[:, 1], table[:, 0])
-            stars.append(np.stack([a, b], axis=1))
-        found = np.concatenate(stars)
-        found = _stars(found[:, 0], found[:, 1])
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            tokens = np.concatenate([np.frombuffer(x, "<u4") for x in pdf.tokens])
+            counts = np.concatenate([np.frombuffer(x, "<i4") for x in pdf.counts])
+            classes = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf.classes])
+            member = np.repeat(np.arange(len(classes)), counts)
+            a, b, _ = _chained(tokens, classes[member, 1], classes[member, 0])
+            found.append(np.stack([a, b], axis=1))
+        rows = np.concatenate(found)
+        rows = _stars(rows[:, 0], rows[:, 1])
+        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
 
     return index.groupBy("part").applyInPandas(merge, LINKS)
 
 
-def cells(source: DataFrame, read: Reader, orders: Orders, order: int, parts: int) -> DataFrame:
-    """id and component (cell) of every set that shares a prefix token of the order with another."""
-    found = materialize(chains(prefix_index(source, read, orders, order, parts)), "chains")
+def cells(source: DataFrame, read: Reader, orders: Orders, order: int, entries: int) -> DataFrame:
+    """id and component (cell) of every set that shares a run in the prefix of the order with another of like size.
+
+    entries: shingles of all sets.
+    """
+    entries = entries * RUN // DENOMINATOR
+    parts = max(entries // PART_ENTRIES + 1, min(32, entries // 250_000 + 1))
+    found = materialize(chains(run_index(source, read, orders, order, parts)), "chains")
     out = materialize(connected_components(found, "a", "b"), "cells")
     discard(found)
     return out
 
 
-def _parts(entries: int) -> int:
-    return max(entries // PART_ENTRIES + 1, min(32, entries // 250_000 + 1))
-
-
 def cell_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     """The set of each class in need (rk, cid, s1, cell, big, copies), from the text of the class's first row."""
 
@@ -274,11 +284,13 @@ def _links_of_big_cells(sets: DataFrame, orders: Orders) -> list[DataFrame]:
     written = [sets]
     for order in (1, 2):
         entries = sets.agg(F.sum("n")).first()[0] or 0
-        finer = cells(sets, _sets_of_cells, orders, order, _parts(entries // DENOMINATOR))
+        finer = cells(sets, _sets_of_cells, orders, order, entries)
         few = F.broadcast(finer) if finer.count() <= BROADCAST_ROWS else finer
         sets = sets.drop("cell").join(few.select(F.col("id").alias("cid"), F.col("component").alias("cell")), "cid")
         sets = materialize(sets.select("cid", "cell", "n", "shingles"), "big_cells")
         written += [finer, sets]
+        if not sets.groupBy("cell").agg(F.sum(_bytes()).alias("b")).where(F.col("b") > BLOCK_BYTES).limit(1).count():
+            break
     step = F.floor(F.log("n") / F.lit(STEP)).cast("int")
     sized = sets.groupBy("cell").agg(F.sum(_bytes()).alias("cell_bytes")).join(
         sets.groupBy("cell", step.alias("step")).agg(F.sum(_bytes()).alias("step_bytes")), "cell"
@@ -356,8 +368,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = rows.where("n > 0").groupBy("s1", "s2").agg(first.alias("f"), F.max("n").alias("n"), F.count("*").alias("copies"))
     cid = F.monotonically_increasing_id().alias("cid")
     classes = materialize(grouped.select(cid, "s1", "s2", F.col("f.rk").alias("rk"), F.col("f.id").alias("first_id"), "n", "copies"), "classes")
-    entries = (classes.agg(F.sum("n")).first()[0] or 0) // DENOMINATOR
-    found = cells(docs.select(text_or_empty().alias("text")), _sets_of_texts, orders, 0, _parts(entries))
+    entries = classes.agg(F.sum("n")).first()[0] or 0
+    found = cells(docs.select(text_or_empty().alias("text")), _sets_of_texts, orders, 0, entries)
 
     need = classes.join(found.select(F.col("id").alias("s1"), F.col("component").alias("cell")), "s1")
     need = materialize(need.select("rk", "cid", "s1", "cell", "copies", "n"), "need")

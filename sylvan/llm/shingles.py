@@ -8,6 +8,8 @@ import numpy as np
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity NUMERATOR / DENOMINATOR
 ORDERS = 3
+#: Shingles in a run, and the least set that has runs.
+RUN, RUN_LEAST = 3, 12
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 U = np.uint64
@@ -106,24 +108,49 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
 
 
 class Orders:
-    """The global orders: by the class of frequency, then by a hash of the order's own."""
+    """The global orders: by the class of frequency, then by a hash of the order's own (a bijection, so no two shingles tie)."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         self.tokens = tokens
-        self.level = np.minimum(np.log2(counts + 1), 62).astype(U)
+        self.level = np.minimum(np.log2(counts + 1), 62).astype(np.int8)
 
-    def key(self, shingles: np.ndarray, order: int) -> np.ndarray:
-        level = np.zeros(len(shingles), U)
+    def first(self, shingles: np.ndarray, order: int, size: int) -> np.ndarray:
+        """The first shingles of a set, in the order."""
+        key = mix(shingles ^ _MULTIPLIERS[order])
         if len(self.tokens):
             at = np.searchsorted(self.tokens, shingles)
             at[at == len(self.tokens)] = 0
-            level = np.where(self.tokens[at] == shingles, self.level[at], U(0))
-        return (level << U(58)) | (mix(shingles ^ _MULTIPLIERS[order]) >> U(6))
+            known = self.tokens[at] == shingles
+            if known.any():
+                return shingles[np.lexsort((key, np.where(known, self.level[at], 0)))[:size]]
+        if size < len(key):
+            low = np.argpartition(key, size - 1)[:size]
+            return shingles[low[np.argsort(key[low])]]
+        return shingles[np.argsort(key)]
 
     def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
+        """Of two similar sets, the prefixes have a shingle in common."""
         n = len(shingles)
-        size = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-        return shingles if size >= n else shingles[np.argpartition(self.key(shingles, order), size - 1)[:size]]
+        return self.first(shingles, order, n - -(-NUMERATOR * n // DENOMINATOR) + 1)
+
+    def runs(self, shingles: np.ndarray, order: int) -> np.ndarray:
+        """Hashes of every RUN shingles that follow each other in the order, of which two similar sets have one in common.
+
+        At most d = n / 5 shingles of a set of n are missing in a similar set, and few enough of the other's are missing in it
+        that the first RUN * (d + 1) hold RUN shingles that both have and that nothing parts in either. That needs nine
+        shared shingles; small sets give single shingles, those of sizes between give both.
+        """
+        n = len(shingles)
+        out = [shingles[:0]]
+        if n < RUN_LEAST * DENOMINATOR // NUMERATOR + 1:
+            out.append(self.prefix(shingles, order))
+        if n >= RUN_LEAST:
+            own = self.first(shingles, order, RUN * (n * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 1))
+            x = own[: len(own) - RUN + 1] * _MULTIPLIERS[0]
+            for k in range(1, RUN):
+                x = x + own[k : len(own) - RUN + 1 + k] * _MULTIPLIERS[k]
+            out.append(mix(x))
+        return np.concatenate(out)
 
 
 def similar_sizes(a, b):

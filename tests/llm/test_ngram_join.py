@@ -141,3 +141,19 @@ def test_one_group_holds_most_rows(docs_of):
     base = words(r, 60)
     pairs = [(k, edited(r, base, r.randint(0, 4))) for k in range(500)] + [(500 + k, " ".join(words(r, 30))) for k in range(100)]
     assert sorted(map(tuple, component_table(docs_of(pairs)).collect()), key=repr) == brute(pairs)
+
+
+def test_similar_sets_share_prefixes_and_runs():
+    """Of sets at the limit of similarity every order's prefixes and runs have an element in common."""
+    r = np.random.default_rng(1)
+    for n in [*range(4, 60), 333]:
+        for _ in range(12):
+            shared = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+            own, other = r.multinomial(len(shared) // 4, [0.5, 0.5])
+            a = np.unique(np.concatenate([shared, r.integers(0, 1 << 62, own).astype(np.uint64)]))
+            b = np.unique(np.concatenate([shared, r.integers(0, 1 << 62, other).astype(np.uint64)]))
+            assert 5 * len(shared) >= 4 * len(np.union1d(a, b))
+            orders = shingles.Orders(np.sort(shared[::3]), r.integers(4, 99, len(shared[::3])).astype(float))
+            for k in range(shingles.ORDERS):
+                assert len(np.intersect1d(orders.prefix(a, k), orders.prefix(b, k)))
+                assert len(np.intersect1d(orders.runs(a, k), orders.runs(b, k)))
