@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -44,28 +45,47 @@ def test_counts_of_documents(docs_of):
     assert token_counts.token_counts(docs_of([])).collect() == []
 
 
-def every_path(own, chunk):
-    """Scores of all segmentations."""
-    def go(at):
-        if at == len(chunk):
-            yield 0.0
-        for j in range(at + 1, len(chunk) + 1):
-            s = own.scores.get(chunk[at:j], sentencepiece_nbest.BYTE_SCORE * len(own.spelled(chunk[at])) if j == at + 1 else None)
-            if s is not None:
-                for rest in go(j):
-                    yield s + rest
-    return sorted(go(0), reverse=True)
+def every_score(own, whole, n):
+    """The n best scores of all segmentations, by dynamic programming over sorted lists of scores."""
+    best = [[0]] + [[] for _ in whole]
+    longest = max(map(len, own.scores))
+    for j in range(1, len(whole) + 1):
+        found = []
+        for i in range(max(0, j - longest), j):
+            s = own.scores.get(whole[i:j], sentencepiece_nbest.BYTE_SCORE * len(own.spelled(whole[i])) if j == i + 1 else None)
+            found += [] if s is None else [s + b for b in best[i]]
+        best[j] = sorted(found, reverse=True)[:n]
+    return [s / sentencepiece_nbest.SCALE for s in best[-1]]
 
 
-def test_nbest_is_that_of_all_paths():
-    own = sentencepiece_nbest.Pieces(sentencepiece_nbest.vocabulary_path())
-    for text in ("hello", "in of", "é x", "the  on", "a▁b", "zq 7"):
+ODD = ["the theme in others, it is", "a" * 90, "日本語テキスト 日本", "e\nf\nthe\n\n\tof", "x, y. (the) ...", "é̀ x", "0123 4567", "in of", "the  on", "a▁b ▁▁", "zq 7"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nbest_is_that_of_all_paths(seed):
+    own = sentencepiece_nbest.pieces_of(sentencepiece_nbest.vocabulary_path())
+    r = random.Random(seed)
+    texts = ODD if not seed else ["".join(r.choices("ateinor  ,.\n▁日", k=r.randint(1, 60))) for _ in range(25)]
+    for text in texts:
         whole = "▁" + text.replace("▁", sentencepiece_nbest.OWN_MARK).replace(" ", "▁")
-        want = every_path(own, whole)[:6]
-        got = own.nbest(text, 6)
-        assert [s for s, _ in got] == pytest.approx(want)
-        assert len({ids for _, ids in got}) == len(got)
-        assert all(own.decode(ids) == text for _, ids in got)
+        for n in (1, 4, 7):
+            got = own.nbest(text, n)
+            assert [s for s, _ in got] == every_score(own, whole, n), text
+            assert len({ids for _, ids in got}) == len(got)
+            assert all(own.decode(ids) == text for _, ids in got)
+
+
+def test_long_texts_of_any_kind_take_linear_time():
+    own = sentencepiece_nbest.pieces_of(sentencepiece_nbest.vocabulary_path())
+    r = random.Random(1)
+    letters = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    lines = "\n".join("the quick brown fox jumps".split() * 5_000)
+    for text in (letters, "a" * 20_000, lines, "中文字符測試" * 4_000, "\t" * 20_000, "&%" * 10_000):
+        start = time.process_time()
+        found = own.nbest(text)
+        assert time.process_time() - start < 20
+        assert len(found) == len({ids for _, ids in found}) and all(own.decode(ids) == text for _, ids in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
 
 
 def test_round_trip(docs_of):
@@ -79,7 +99,8 @@ def test_round_trip(docs_of):
     first = {r.doc_id: r for r in encoded.where("rank = 0").collect()}
     for i, r in rows.items():
         assert r.n_pieces == len(first[i].ids) and r.ids_crc32 == zlib.crc32(np.array(first[i].ids, "<u4").tobytes())
-        assert r.scores == sorted(r.scores, reverse=True)
+        assert r.scores == sorted(r.scores, reverse=True) and r.nbest_crc32[0] == r.ids_crc32 and len(r.nbest_crc32) == len(r.scores)
+        assert r.decoded_crc32 == zlib.crc32((dict(pairs)[i] or "").encode())
     assert sentencepiece_nbest.nbest_segmentations(docs_of([])).collect() == []
 
 
