@@ -1,6 +1,10 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from sylvan.llm import sharding
 from sylvan.llm.sharding import assign_shards
 
 
@@ -38,3 +42,25 @@ def test_columns_named_like_working_columns(spark):
     rows = assign_shards(docs, 3).collect()
     assert sorted((r.doc_id, r._k, r._PART) for r in rows) == [(i, i, "p") for i in range(9)]
     assert all(r["size"] == len(r.text) + 16 for r in rows)
+
+
+@pytest.mark.parametrize("doc_id", ["cast(null as bigint)", "id % 3", "7"])
+@pytest.mark.parametrize("text", ["concat('text ', id, repeat(' x', int(id % 40)))", "if(id % 3 = 0, repeat('same ', 9), concat('t', id))", "'one text'"])
+def test_ids_that_tell_nothing(spark, doc_id, text):
+    """Null ids, few ids and rows that are equal throughout don't tip the law."""
+    docs = spark.range(60_000).select(F.expr(doc_id).alias("doc_id"), F.expr(text).alias("text"))
+    out = assign_shards(docs, 40).groupBy("shard").agg(F.sum("size"), F.count("*"), F.count_distinct("slot"), F.max("slot")).collect()
+    sizes = [r[1] for r in out]
+    assert len(out) == 40 and sum(r[2] for r in out) == 60_000
+    assert all(r[2] == r[3] == r[4] + 1 for r in out)
+    mean = sum(sizes) / 40
+    assert 0.96 * mean < min(sizes) and max(sizes) < 1.04 * mean
+
+
+def test_the_sample_is_bounded(spark):
+    """However many rows share a key, and whatever their sizes, the draw stays near SAMPLES for each range."""
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("_k"), F.xxhash64("id", F.lit(1)).alias("_r"), (16 + F.col("id") % 7 * 5000).alias("size"))
+    total = keys.agg(F.sum("size")).first()[0]
+    step = total / (sharding.SAMPLES * 100)
+    assert keys.where(sharding._share("_r") * step < F.col("size")).count() < 1.2 * sharding.SAMPLES * 100
+    assert 90 <= len(sharding.splitters(keys, total, 100)) <= 100
