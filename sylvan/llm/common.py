@@ -12,6 +12,10 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Up to so many rows of a few longs or hashes are broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -28,3 +32,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def broadcast_if_few(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for a broadcast where it has BROADCAST_ROWS at most."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written

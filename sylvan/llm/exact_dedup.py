@@ -6,13 +6,14 @@ A hit is verified against the digests stored in the bucket, so that a clash of f
 insertion overflows, the filter is rebuilt at twice the size from the stored digests. Digests can be deleted from the
 index, and texts that come back later are then new again.
 
-Cases: a null text counts as empty; rows that repeat a doc_id are counted one by one; a null doc_id never becomes keep_id
+Cases: a null text counts as empty; a very long text is hashed like any other, in the JVM, and never moved; of equal texts the
+smallest doc_id stays, so ties are copies that repeat it; rows that repeat a doc_id are counted one by one; a null doc_id never becomes keep_id
 unless all of its group are null; an empty table gives an empty index and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import join_per_key, materialize
 
-from .common import SPACE_CLASS, free_name, text_or_empty
+from .common import SPACE_CLASS, broadcast_if_few, free_name, text_or_empty
 
 #: Fingerprints in a cell of the filter, moves before an insertion gives up, rows for each bucket of the index.
 CELL, MOVES, BUCKET_ROWS = 4, 200, 20_000
-GROUPS = "digest binary, keep_id bigint, group_size bigint"
+#: Rows that a digest's copies are combined to before they meet in their bucket.
+SALTS = 16
 INDEX = "bucket int, cells int, filter binary, digests array<binary>, keep_ids array<bigint>, sizes array<bigint>"
 
 
@@ -125,7 +127,8 @@ class Bucket:
 
     def row(self, bucket: int) -> pd.DataFrame:
         kept = list(self.live.values())
-        return pd.DataFrame({"bucket": [bucket], "cells": [self.filter.cells], "filter": [self.filter.to_bytes()], "digests": [list(self.live)], "keep_ids": [[k for k, _ in kept]], "sizes": [[n for _, n in kept]]})
+        out = {"bucket": [bucket], "cells": [self.filter.cells], "filter": [self.filter.to_bytes()], "digests": [list(self.live)]}
+        return pd.DataFrame(out | {"keep_ids": [[k for k, _ in kept]], "sizes": [[n for _, n in kept]]})
 
 
 def normalised(name: str = "text") -> Column:
@@ -137,12 +140,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("digest"))
 
 
-def _collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Copies within a batch of a task become one row, before anything is shuffled."""
-    for pdf in batches:
-        if len(pdf):
-            out = pdf.assign(doc_id=pdf.doc_id.astype("Int64")).groupby("digest", sort=False, as_index=False).agg(keep_id=("doc_id", "min"), group_size=("doc_id", "size"))
-            yield out[["digest", "keep_id", "group_size"]]
+def combined(hashed: DataFrame) -> DataFrame:
+    """digest, keep_id and group_size, at most SALTS rows for each digest, however many rows of hashed have it."""
+    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SALTS))
+    grouped = hashed.groupBy("digest", salt.alias("_salt")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return grouped.select("digest", "keep_id", "group_size")
 
 
 def _bucket(buckets: int) -> Column:
@@ -159,7 +161,7 @@ def build_index(hashed: DataFrame, buckets: int) -> DataFrame:
             own.add(bytes(d), None if k is pd.NA or k is None else int(k), n)
         return own.row(int(key[0]))
 
-    return hashed.mapInPandas(_collapse, GROUPS).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(build, INDEX)
+    return combined(hashed).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(build, INDEX)
 
 
 def delete_digests(index: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
@@ -179,25 +181,34 @@ def delete_digests(index: DataFrame, gone: DataFrame, buckets: int) -> DataFrame
 
 def groups_of(index: DataFrame) -> DataFrame:
     """digest, keep_id and group_size of every live digest."""
-    return index.select(F.explode(F.arrays_zip("digests", "keep_ids", "sizes")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.keep_ids").alias("keep_id"), F.col("x.sizes").alias("group_size"))
+    rows = index.select(F.explode(F.arrays_zip("digests", "keep_ids", "sizes")).alias("x"))
+    return rows.select(F.col("x.digests").alias("digest"), F.col("x.keep_ids").alias("keep_id"), F.col("x.sizes").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest doc_id stays. Where rows repeat that doc_id, they all are kept = true: they
-    can't be told apart by id. A hot group of copies is collapsed in each batch before the shuffle and salted in the join.
+    can't be told apart by id. A hot group of copies is combined before it meets in its bucket, and salted in the join.
     """
     hashed = materialize(digests(docs), "digests")
     total = hashed.count()
     groups = materialize(groups_of(build_index(hashed, max(1, -(-total // bucket_rows)))), "groups")
     out = join_per_key(hashed, groups, ["digest"], "group_size", total, ["doc_id"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return out.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns unchanged."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    """The rows of docs that exact_dedup keeps, all columns unchanged.
+
+    Rows that repeat the kept doc_id with an equal text stay with it. A null in another column, an empty or very long text and
+    clashing names need no care: only doc_id and text are read; an empty table gives no rows.
+    """
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    gone = materialize(gone.distinct(), "gone")
+    few = broadcast_if_few(gone)
     sha = free_name(docs, "_sha")
     rows = docs.withColumn(sha, F.sha2(normalised(), 256))
-    return rows.join(kept, rows["doc_id"].cast("bigint").eqNullSafe(kept["_kept_id"]) & (rows[sha] == kept["_kept_sha"]), "left_semi").drop(sha)
+    same = rows["doc_id"].cast("bigint").eqNullSafe(few["_gone_id"]) & (rows[sha] == few["_gone_sha"])
+    return rows.join(few, same, "left_anti").drop(sha)

@@ -37,13 +37,11 @@ from sylvan.operators.components import connected_components
 from sylvan.operators.local import labels
 from sylvan.runtime import discard, join_per_key, materialize
 
-from .common import free_name, text_or_empty
+from .common import broadcast_if_few, free_name, text_or_empty
 from .shingles import DENOMINATOR, NUMERATOR, RUN, Orders, U, links_between, links_within, mix, shingle_sets, signature
 
 #: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
-#: Up to so many rows of a few longs are broadcast; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 500_000
 #: Prefix entries for each partition of the index, bytes of sets that one comparison loads, bytes of sets for each task.
 PART_ENTRIES, BLOCK_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 16 << 20
 #: Sizes in one step differ by sqrt(5 / 4) at most, similar ones by STEPS steps. In a chain of one size of each step, neighbours
@@ -249,7 +247,7 @@ def cell_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
             out = pdf[["cid", "cell", "big", "copies"]].assign(n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
             yield out[own]
 
-    few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    few = broadcast_if_few(need)
     texts = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(few, "rk")
     return texts.select("cid", "s1", "cell", "big", "copies", "text").mapInPandas(run, CELL_SETS)
 
@@ -285,7 +283,7 @@ def _links_of_big_cells(sets: DataFrame, orders: Orders) -> list[DataFrame]:
     for order in (1, 2):
         entries = sets.agg(F.sum("n")).first()[0] or 0
         finer = cells(sets, _sets_of_cells, orders, order, entries)
-        few = F.broadcast(finer) if finer.count() <= BROADCAST_ROWS else finer
+        few = broadcast_if_few(finer)
         sets = sets.drop("cell").join(few.select(F.col("id").alias("cid"), F.col("component").alias("cell")), "cid")
         sets = materialize(sets.select("cid", "cell", "n", "shingles"), "big_cells")
         written += [finer, sets]
@@ -421,7 +419,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = found.select(F.col("rk").alias("_rk")).distinct().join(best, "_rk", "left_anti")
     gone = materialize(gone, "gone")
     discard(found)
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    few = broadcast_if_few(gone)
     own = free_name(docs, "_own")
     rows = docs.withColumn(own, _row_key())
     return rows.join(few, rows[own] == few["_rk"], "left_anti").drop(own)
