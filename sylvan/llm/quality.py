@@ -12,7 +12,9 @@ Cases: a null or blank text has no words and fails the base rule; null language
 rows of a language and source with fewer than LEAST usable rows are judged with the other small groups of their language,
 and if these are too few with all rows left over; if those are too few too, only the base rule counts. Copies and near copies
 can't take an estimate over: a cell of like statistics that holds over 1 / CELL_SHARE of the weight of a group is weighed down
-to that share (`_weights`), and the scale is never below LEAST_SCALE. In groups without such a cell repeated rows count each. An empty table gives no rows. Extra columns are ignored.
+to that share (`_weights`), and the scale is never below LEAST_SCALE. In groups without such a cell repeated rows count each.
+Of rows that tie at the ALPHA quantile all those in its cell of distances are held, so no order decides. A very long text is
+counted whole, in arrays of its own row. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import discard, join_per_key, materialize
 
-from .common import SPACE_CLASS, SPACES, free_name, text_or_empty
+from .common import SPACE_CLASS, SPACES, broadcast_if_few, free_name, text_or_empty
 
 WINDOW = 8
 #: Share of rows that the estimate rests on, rows that a group needs, concentration steps, squared distance that rejects.
@@ -223,8 +225,9 @@ def quality_verdicts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of docs that are kept, all columns unchanged."""
-    bad = quality_verdicts(docs, least).where("not kept").select("_rk", F.col("doc_id").alias("_bad_id")).distinct()
+    """The rows of docs that are kept, all columns unchanged. Rows that are equal in doc_id, text, lang and source share a verdict."""
+    bad = quality_verdicts(docs, least).where("not kept").select(F.col("_rk").alias("_bad"), F.col("doc_id").alias("_bad_id"))
+    few = broadcast_if_few(materialize(bad.distinct(), "rejected"))
     own = free_name(docs, "_own")
     rows = docs.withColumn(own, row_key())
-    return rows.join(bad, (rows[own] == bad["_rk"]) & rows["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti").drop(own)
+    return rows.join(few, (rows[own] == few["_bad"]) & rows["doc_id"].eqNullSafe(few["_bad_id"]), "left_anti").drop(own)
