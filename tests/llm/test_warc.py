@@ -1,7 +1,9 @@
 import hashlib
+import time
 
 import pytest
 
+from sylvan.llm import warc
 from sylvan.llm.warc import MAGIC, read_warc, warc_round_trip, write_warc
 
 PAGES = "page_id bigint, url string, html string, _sha string"
@@ -54,5 +56,43 @@ def test_pieces_smaller_than_records(spark, tmp_path, piece):
             spark.conf.set(k, v)
 
 
+FAKE = MAGIC + "WARC-Type: response\r\nContent-Length: 99999999999\r\n\r\n"
+
+
+def test_fake_heads_cost_linear_time():
+    seconds = []
+    for heads in (2_500, 10_000):
+        piece = warc._Piece("p", 0)
+        payload = (FAKE + "x" * 500) * heads
+        value = f"WARC/1.0\r\nContent-Length: {len(payload)}\r\n\r\n{payload}\r\n\r\n"
+        start = time.process_time()
+        for x in value.split(MAGIC):
+            piece.segment(x.encode())
+        rows = piece.rows()
+        seconds.append(time.process_time() - start)
+        first = rows[rows["at"] == 0].iloc[0]
+        assert first.complete and first.digest == hashlib.sha1(payload.encode()).hexdigest() and len(rows) == heads + 2
+    assert seconds[1] < 12 * seconds[0] + 0.5
+
+
+@pytest.mark.parametrize("piece", [3000, 1 << 20])
+def test_fake_heads_and_torn_records(spark, tmp_path, monkeypatch, piece):
+    """Records over many pieces, and records that no task hashed, are hashed when the chain is known."""
+    monkeypatch.setattr(warc, "HASHED", 0)
+    monkeypatch.setattr(warc, "SLACK", 0)
+    rows = [(i, "u", (FAKE + "y" * (50 * i)) * 30, "x") for i in range(1, 12)] + [(50, "u", EVIL * 10, "x")]
+    path = f"file://{tmp_path}/w"
+    write_warc(spark.createDataFrame(rows, PAGES).coalesce(2), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    keep = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], str(piece))
+        spark.conf.set(names[1], "1")
+        assert rows_of(read_warc(spark, path).withColumnRenamed("type", "record_type")) == expected(rows)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_empty(spark):
     assert warc_round_trip(spark.createDataFrame([], PAGES)).collect() == []
