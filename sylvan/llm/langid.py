@@ -5,11 +5,13 @@ that two texts share, normalised by the geometric mean of their own numbers. LAN
 span a Nyström approximation of the kernel, in which one-versus-rest kernel ridge regression is solved. Prediction needs
 the presence vectors of a batch of texts times the landmarks' presence matrix, times one small matrix.
 
-Training reads a sample of at most SAMPLE texts per language, drawn by hash from labelled rows with letters; where a language
-has SAMPLE such texts of at most SAMPLE_CHARS characters, from these only. Everything else reads whole texts. Letters are lower-cased and runs of
-other characters count as one space, so that numbers and markup weigh nothing.
+Training reads a sample of at most SAMPLE texts and SAMPLE_BYTES characters (one text at least) per language, drawn by hash from
+labelled rows with letters; where a language has SAMPLE texts of at most SAMPLE_CHARS characters, from these only. Their
+n-grams are made where the texts are; the driver gets the n-grams. Everything else reads whole texts. Letters are
+lower-cased and runs of other characters count as one space, so that numbers and markup weigh nothing.
 
-Cases: a null text or one without letters is `und` with score 0; without labelled rows every text is `und`; rows repeat in
+Cases: a null text or one without letters is `und` with score 0; a very long text is taken in pieces; of languages that tie in
+their scores the first by name is named; without labelled rows every text is `und`; rows repeat in
 the result as in the input; an empty table gives no rows. Extra columns are ignored.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, LANDMARKS, SAMPLE, SAMPLE_CHARS, RIDGE = 3, 128, 256, 8192, 1e-3
+ORDER, LANDMARKS, SAMPLE, SAMPLE_CHARS, SAMPLE_BYTES, RIDGE = 3, 128, 256, 8192, 4 << 20, 1e-3
 #: The score from which a language counts as found: half-way between a ridge target of -1 and 1.
 LEAST = 0.5
 #: Characters worked on at a time; a longer text is taken in overlapping pieces and its n-grams united.
@@ -87,19 +89,20 @@ class Model:
         return names, scores
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström features of the kernel with landmarks taken in turn from the languages, then ridge regression for each language."""
+def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """From n-grams of texts: Nyström features of the kernel with landmarks taken in turn from the languages, then ridge regression for each language."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
-    sets = [grams(t) for t in texts]
+        none = np.zeros((0, 0), np.float32)
+        return Model([], np.zeros(0, np.uint64), none, np.zeros(0, np.float32), none)
     turn = pd.Series(labels).groupby(pd.Series(labels)).cumcount()
-    chosen = sorted(range(len(texts)), key=lambda i: (turn[i], labels[i]))[: max(landmarks, len(languages))]
+    chosen = sorted(range(len(sets)), key=lambda i: (turn[i], labels[i]))[: max(landmarks, len(languages))]
     vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
     presence = np.zeros((len(vocabulary), len(chosen)), np.float32)
     for k, i in enumerate(chosen):
         presence[np.searchsorted(vocabulary, sets[i]), k] = 1
-    model = Model(languages, vocabulary, presence, np.array([max(1, len(sets[i])) for i in chosen], np.float32), np.zeros((0, 0), np.float32))
+    own = np.array([max(1, len(sets[i])) for i in chosen], np.float32)
+    model = Model(languages, vocabulary, presence, own, np.zeros((0, 0), np.float32))
     k = model.kernel(sets).astype(np.float64)
     values, vectors = np.linalg.eigh(k[chosen])
     keep = values > 1e-6 * values.max()
@@ -111,29 +114,43 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     weights = np.zeros((phi.shape[1], len(languages)))
     for c in range(len(languages)):
         w = np.where(y[:, c] > 0, 0.5 / counts[c], 0.5 / max(1.0, len(labels) - counts[c]))[:, None] * len(labels)
-        weights[:, c] = np.linalg.solve(phi.T @ (w * phi) + ridge * len(labels) * np.eye(phi.shape[1]), phi.T @ (w[:, 0] * y[:, c]))
+        ridged = phi.T @ (w * phi) + ridge * len(labels) * np.eye(phi.shape[1])
+        weights[:, c] = np.linalg.solve(ridged, phi.T @ (w[:, 0] * y[:, c]))
     model.weights = (root @ weights).astype(np.float32)
     return model
 
 
-def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf[[has_letter(t) for t in pdf.text]]
+        pdf = pdf[[has_letter(t) for t in pdf.text]]
+        yield pdf[["lang", "_u"]].assign(grams=[grams(t).tobytes() for t in pdf.text])
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
     """A model from rows with text, lang and doc_id; only these two teach, doc_id only seeds the draw."""
-    rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.length("text").alias("_len"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)).alias("_u"))
+    draw = F.pmod(F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"), F.lit(1 << 40))
+    rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", "text", F.length("text").alias("_len"), draw.alias("_u"))
     short = F.col("_len") <= SAMPLE_CHARS
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short")).orderBy(F.desc("n"), "lang").toPandas()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short")).toPandas()
     if not len(counts):
         return fit([], [])
     # Twice the sample is drawn from texts that are short enough (from all where a language has too few such), then cut to it.
+    # Texts stay where they are: first the draws and lengths, then the n-grams of those that the bounds let in.
     whole = counts.n_short < sample
-    rates = labelled.sparkSession.createDataFrame(counts.assign(_any=whole, _below=[int(min(1.0, 2.0 * sample / n) * (1 << 30)) + 1 for n in counts.n.where(whole, counts.n_short)])[["lang", "_any", "_below"]], "lang string, _any boolean, _below bigint")
-    drawn = rows.join(F.broadcast(rates), "lang").where((short | F.col("_any")) & (F.col("_u") < F.col("_below"))).select("lang", "text", "_u")
-    drawn = drawn.mapInPandas(_usable, drawn.schema).toPandas().sort_values(["lang", "_u", "text"]).groupby("lang").head(sample)
-    return fit(drawn.text.tolist(), drawn.lang.tolist(), landmarks)
+    below = [int(min(1.0, 2.0 * sample / n) * (1 << 40)) + 1 for n in counts.n.where(whole, counts.n_short)]
+    spark = labelled.sparkSession
+    rates = spark.createDataFrame(counts.assign(_any=whole, _below=below)[["lang", "_any", "_below"]], "lang string, _any boolean, _below bigint")
+    drawn = rows.join(F.broadcast(rates), "lang").where((short | F.col("_any")) & (F.col("_u") < F.col("_below"))).drop("_any", "_below")
+    places = drawn.select("lang", "_u", "_len").distinct().toPandas().sort_values(["lang", "_u", "_len"]).groupby("lang").head(sample)
+    fits = places.groupby("lang")._len.cumsum() <= SAMPLE_BYTES
+    least = places.sort_values(["lang", "_len", "_u"]).groupby("lang").head(1).index
+    places = places[fits | places.index.isin(least)]
+    places = F.broadcast(spark.createDataFrame(places, "lang string, _u bigint, _len int"))
+    picked = drawn.join(places, ["lang", "_u", "_len"], "left_semi").dropDuplicates(["lang", "_u"]).select("lang", "_u", "text")
+    picked = picked.mapInPandas(_grams, "lang string, _u bigint, grams binary").toPandas()
+    picked = picked.sort_values(["lang", "_u", "grams"]).groupby("lang").head(sample)
+    return fit([np.frombuffer(g, np.uint64) for g in picked.grams], picked.lang.tolist(), landmarks)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

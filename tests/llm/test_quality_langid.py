@@ -88,7 +88,7 @@ def test_verdicts_against_brute_force(spark):
 
 
 def test_kernel_is_the_definition():
-    model = langid.fit(["one two three", "un deux trois", "two one", "trois un"], ["en", "fr", "en", "fr"], landmarks=4)
+    model = langid.fit([langid.grams(t) for t in ("one two three", "un deux trois", "two one", "trois un")], ["en", "fr", "en", "fr"], landmarks=4)
     sets = lambda t: {f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
     chosen = ["one two three", "un deux trois", "two one", "trois un"]
     for t in ("one deux", "three trois"):
@@ -163,3 +163,47 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"{chr(0x4E00 + i) * 9} abc", f"l{i}") for i in range(520)]
     model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), landmarks=16)
     assert len(model.languages) == 520
+
+
+def test_with_all_landmarks_it_is_kernel_ridge_regression():
+    """With every text as a landmark the Nystrom solution is that of the whole kernel matrix."""
+    r = random.Random(3)
+    texts_of = {"a": "stone water river mountain", "b": "pierre eau fleuve montagne", "c": "stein wasser fluss berg"}
+    labels = [x for x in texts_of for _ in range(7)]
+    learned = [" ".join(r.choices(texts_of[x].split(), k=5)) + f" {chr(97 + i)}" for i, x in enumerate(labels)]
+    sets = [langid.grams(t) for t in learned]
+    model = langid.fit(sets, labels, landmarks=len(sets))
+    kernel = lambda a, b: len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b))
+    whole = np.array([[kernel(a, b) for b in sets] for a in sets])
+    for c, lang in enumerate(model.languages):
+        y = np.array([1.0 if x == lang else -1.0 for x in labels])
+        weight = np.where(y > 0, 0.5 / labels.count(lang), 0.5 / (len(labels) - labels.count(lang))) * len(labels)
+        alpha = np.linalg.solve(whole + langid.RIDGE * len(labels) * np.diag(1 / weight), y)
+        for t in ("stone eau fluss", "river berg berg", "montagne"):
+            want = sum(a * kernel(langid.grams(t), s) for a, s in zip(alpha, sets, strict=True))
+            names, scores = model.predict([t])
+            got = (model.kernel([langid.grams(t)]) @ model.weights)[0]
+            assert got[c] == pytest.approx(want, abs=2e-3)
+            assert names == [model.languages[int(got.argmax())]] and scores[0] == pytest.approx(min(1, max(0, (got.max() + 1) / 2)))
+
+
+def test_ties_go_to_the_first_language():
+    sets = [langid.grams("same text")] * 2
+    model = langid.fit(sets, ["y", "x"])
+    assert model.predict(["same text", "other"])[0] == ["x", "x"]
+
+
+def test_the_sample_is_bounded_in_characters(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 10)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 5000)
+    fitted = []
+    monkeypatch.setattr(langid, "fit", lambda sets, labels, landmarks=0: fitted.append(labels))
+    docs = docs_of([(i, f"{'word ' * 400}{i}") for i in range(40)] + [(100, "same text") for _ in range(50)], lang="xx")
+    langid.train(docs.unionByName(docs_of([(i, "z" * 9000 + " " + "y" * i) for i in range(3)], lang="long")))
+    assert fitted[0].count("long") == 1 and 1 <= fitted[0].count("xx") <= 4
+
+
+def test_a_very_long_text_through_the_query(docs_of):
+    pairs = [(i, "the river and the stone") for i in range(9)] + [(50, "river stone the " * 80_000)]
+    rows = {r.doc_id: r for r in langid.identify(docs_of(pairs)).collect()}
+    assert rows[50].lang_pred == "en" and rows[50].score > 0.5
