@@ -40,8 +40,10 @@ from sylvan.runtime import discard, join_per_key, materialize
 from .common import broadcast_if_few, free_name, text_or_empty
 from .shingles import DENOMINATOR, NUMERATOR, RUN, Orders, U, links_between, links_within, mix, shingle_sets, signature
 
-#: Shingles that so many classes of a batch hold are reported; the most frequent MOST_FREQUENT of all are put last.
+#: Shingles that so many classes of a batch (or HELD shingles) hold are reported; the most frequent MOST_FREQUENT of all are put last.
 LOCAL, MOST_FREQUENT = 4, 1 << 19
+#: Shingles or entries of sets that a worker holds at once: a batch beyond is taken in parts, but no set is cut.
+HELD = 1 << 19
 #: Prefix entries for each partition of the index, bytes of sets that one comparison loads, bytes of sets for each task.
 PART_ENTRIES, BLOCK_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 16 << 20
 #: Sizes in one step differ by sqrt(5 / 4) at most, similar ones by STEPS steps. In a chain of one size of each step, neighbours
@@ -61,24 +63,29 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """rk (key of the row), doc_id, size and signature of each row's set; and rows for each batch with its frequent shingles."""
     names = [x.split()[0] for x in SETS.split(", ")]
 
+    def report(sets: list[np.ndarray]) -> pd.DataFrame:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        many = counts >= LOCAL
+        columns = {"tokens": [tokens[many].tobytes()], "counts": [counts[many].astype("<i8").tobytes()]}
+        return pd.DataFrame(dict.fromkeys(names[:5], [None]) | columns).astype(dict.fromkeys(names[:5], "Int64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sizes, signs, seen = [], [], {}
+            sizes, signs, held, size = [], [], {}, 0
             for s in shingle_sets(pdf.text.tolist()):
                 signs.append(signature(s))
                 sizes.append(len(s))
-                seen.setdefault(signs[-1], s)
+                if signs[-1] not in held:
+                    held[signs[-1]] = s
+                    size += len(s)
+                if size >= HELD:
+                    yield report(list(held.values()))
+                    held, size = {}, 0
+            if held:
+                yield report(list(held.values()))
             one, two = np.array(signs, np.int64).reshape(-1, 2).T
             out = pd.DataFrame({"rk": pdf.rk, "doc_id": pdf.doc_id.astype("Int64"), "n": sizes, "s1": one, "s2": two, "tokens": None, "counts": None})
             yield out.astype({"n": "Int64", "rk": "Int64", "s1": "Int64", "s2": "Int64"})
-            if seen:
-                tokens, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                many = counts >= LOCAL
-                for start in range(0, int(many.sum()), 1 << 16):
-                    some = slice(start, start + (1 << 16))
-                    report = dict.fromkeys(names[:5], [None])
-                    report |= {"tokens": [tokens[many][some].tobytes()], "counts": [counts[many][some].astype("<i8").tobytes()]}
-                    yield pd.DataFrame(report).astype(dict.fromkeys(names[:5], "Int64"))
 
     rows = docs.select(_row_key().alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInPandas(run, SETS)
@@ -167,35 +174,40 @@ def run_index(source: DataFrame, read: Reader, orders: Orders, order: int, parts
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             known: dict[int, int] = {}
-            tokens, sizes = [], []
+            tokens, held = [], 0
             for name, s, cell in read(pdf):
                 if name in known:
                     continue
-                own = shared.value.runs(s, order)
-                tokens.append(mix(own + U(cell % (1 << 64))))
+                tokens.append(mix(shared.value.runs(s, order) + U(cell % (1 << 64))))
                 known[name] = len(s)
-                sizes.append(len(own))
-            if not known:
-                continue
-            table = np.array([list(known), list(known.values())], np.int64).T
-            token, member = np.concatenate(tokens), np.repeat(np.arange(len(table)), sizes)
-            a, b, keep = _chained(token, table[member, 1], member)
-            stars = _stars(table[a, 0], table[b, 0])
-            token, member = token[keep], member[keep]
-            # Entries by partition, then by class.
-            place = (token % U(parts)).astype(np.int64) * len(table) + member
-            by_place = np.argsort(place)
-            place, token = place[by_place], (token[by_place] >> U(32)).astype("<u4")
-            starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-            part, member = np.divmod(place[starts[:-1]], len(table))
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            out = {"part": part[cuts[:-1]], "tokens": [token[starts[i] : starts[j]].tobytes() for i, j in spans]}
-            out["counts"] = [np.diff(starts[i : j + 1]).astype("<i4").tobytes() for i, j in spans]
-            out["classes"] = [table[member[i:j]].tobytes() for i, j in spans]
-            yield pd.DataFrame(out)
-            if len(stars):
-                yield pd.DataFrame([{"part": int(stars[0, 0]) % parts, "tokens": stars.tobytes(), "counts": b"", "classes": b""}])
+                held += len(tokens[-1])
+                if held >= HELD:
+                    yield from rows(known, tokens)
+                    known, tokens, held = {}, [], 0
+            if known:
+                yield from rows(known, tokens)
+
+    def rows(known: dict[int, int], tokens: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        table = np.array([list(known), list(known.values())], np.int64).T
+        member = np.repeat(np.arange(len(table)), [len(t) for t in tokens])
+        token = np.concatenate(tokens)
+        a, b, keep = _chained(token, table[member, 1], member)
+        stars = _stars(table[a, 0], table[b, 0])
+        token, member = token[keep], member[keep]
+        # Entries by partition, then by class.
+        place = (token % U(parts)).astype(np.int64) * len(table) + member
+        by_place = np.argsort(place)
+        place, token = place[by_place], (token[by_place] >> U(32)).astype("<u4")
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+        part, member = np.divmod(place[starts[:-1]], len(table))
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        out = {"part": part[cuts[:-1]], "tokens": [token[starts[i] : starts[j]].tobytes() for i, j in spans]}
+        out["counts"] = [np.diff(starts[i : j + 1]).astype("<i4").tobytes() for i, j in spans]
+        out["classes"] = [table[member[i:j]].tobytes() for i, j in spans]
+        yield pd.DataFrame(out)
+        if len(stars):
+            yield pd.DataFrame([{"part": int(stars[0, 0]) % parts, "tokens": stars.tobytes(), "counts": b"", "classes": b""}])
 
     return source.mapInPandas(run, INDEX)
 

@@ -37,8 +37,8 @@ BINS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint,
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words that the tokenizer's normalizer changes by lower-casing alone.
 LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
-#: Words whose ids a worker remembers, and the longest that it does.
-MEMORY, WORD = 400_000, 64
+#: Words whose ids a worker remembers, parts of words, and the longest word that it does.
+MEMORY, UNITS, WORD = 400_000, 120_000, 64
 
 
 class WordIds(dict):
@@ -67,19 +67,23 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def unit_ids(self, unit: str) -> bytes:
+        level = unit if unit.isascii() else "".join(self.bytes[b] for b in unit.encode())
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(level)])
+
     def unit(self, unit: str) -> bytes:
         ids = self.units.get(unit)
         if ids is None:
-            level = unit if unit.isascii() else "".join(self.bytes[b] for b in unit.encode())
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(level))
-            if len(self.units) >= MEMORY:
+            ids = self.unit_ids(unit)
+            if len(self.units) >= UNITS:
                 self.units.clear()
             self.units[unit] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
         if self.split is not None and LATIN.fullmatch(word):
-            ids = b"".join([self.unit(x) for x in self.split.findall(word.lower())])
+            units = self.split.findall(word.lower())
+            ids = b"".join(map(self.unit, units)) if len(units) > 1 else self.unit_ids(units[0]) if units else b""
         else:
             ids = self.encode(word)
         if len(word) <= WORD:

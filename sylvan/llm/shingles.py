@@ -11,7 +11,7 @@ ORDERS = 3
 #: Shingles in a run, and the least set that has runs.
 RUN, RUN_LEAST = 3, 12
 #: Bytes of text hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _POWER, _INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTIPLIERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
