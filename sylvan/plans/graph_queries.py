@@ -6,6 +6,7 @@ Weights are whole cents or counts, so that both engines compare the same numbers
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +18,13 @@ from sylvan.operators.graph import both_directions, canonical_edges, degrees, ed
 from sylvan.operators.msf import block_spanning_forest, minimum_spanning_forest
 from sylvan.operators.triangles import edge_support, triangles, truss
 from sylvan.plans import flow
-from sylvan.runtime import read_table
-from sylvan.sources import generators
+from sylvan.runtime import materialize, read_table, shared_path
+from sylvan.sources import generators, graph_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 TREE = ["e", "src", "dst", "w", "parent"]
+#: Rows that the distributed forms leave to one task in queries that are to show them.
+FEW = 100
 #: Sizes of the generated trees.
 N, K = 1000, 10
 
@@ -51,11 +54,13 @@ def hook_customer_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hook_customer_rake_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dendrogram(_hook_edges(spark, sf_dir), "rake_compress").select(TREE)
+    """Contracted in rounds over tables until some FEW edges are left."""
+    return dendrogram(_hook_edges(spark, sf_dir), "rake_compress", FEW).select(TREE)
 
 
 def hook_customer_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dendrogram(_hook_edges(spark, sf_dir), "rounds").select(TREE)
+    """Rounds of local minima over tables until some FEW edges are left."""
+    return dendrogram(_hook_edges(spark, sf_dir), "rounds", FEW).select(TREE)
 
 
 def _geo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +84,11 @@ def event_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_dendrogram(_sequences(spark, sf_dir)).select("seq_id", "pos", "w", "parent")
 
 
+def event_cartesian_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sequences, those of over 70 events cut into tables of edges."""
+    return sequence_dendrogram(_sequences(spark, sf_dir), one_task=70).select("seq_id", "pos", "w", "parent")
+
+
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each pair of nations trades, both ways together."""
     line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
@@ -99,6 +109,11 @@ def trade_msf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimum_spanning_forest(_trade(spark, sf_dir))
 
 
+def trade_boruvka(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest in Boruvka rounds over tables."""
+    return minimum_spanning_forest(_trade(spark, sf_dir), one_task=4)
+
+
 def trade_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.cluster(_trade(spark, sf_dir)).select(TREE)
 
@@ -150,6 +165,16 @@ def copart_truss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truss(_copart(spark, sf_dir)).select("src", "dst", "support", "k")
 
 
+def supplier_truss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truss(_neighbours(spark, sf_dir)).select("src", "dst", "support", "k")
+
+
+def supplier_truss_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peeled in rounds over tables until a third of the triangles is left."""
+    edges = materialize(_neighbours(spark, sf_dir), "edges")
+    return truss(edges, one_task=triangles(edges).count() // 3).select("src", "dst", "support", "k")
+
+
 def copart_similarity_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangle similarity, spanning forest, dendrogram."""
     return flow.cluster(_copart(spark, sf_dir), "triangle_similarity").select(TREE)
@@ -159,6 +184,64 @@ def copart_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_copart(spark, sf_dir)).select("id", "component")
 
 
+def copart_components_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components by large and small stars over tables."""
+    return connected_components(_copart(spark, sf_dir), one_task=FEW).select("id", "component")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of lines that follow each other in an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst"))
+    return canonical_edges(lines.where("dst is not null"))
+
+
+NEIGHBOURS_SQL = """SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
+    SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem
+  ) WHERE b IS NOT NULL AND a <> b"""
+
+
+def _round_trip(edges: DataFrame, write: Callable, read: Callable) -> DataFrame:
+    path = shared_path(edges.sparkSession, "graph")
+    write(edges, path)
+    return read(edges.sparkSession, path)
+
+
+def file_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as adjacency text and read again; so are the next two, with weights."""
+    return _round_trip(_copart(spark, sf_dir), graph_files.write_adjacency, graph_files.read_adjacency)
+
+
+def file_adjacency_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = partial(graph_files.read_adjacency, weight="int")
+    return _round_trip(_hook_edges(spark, sf_dir), graph_files.write_adjacency, read)
+
+
+def file_adjacency_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = partial(graph_files.read_adjacency, weight="float")
+    return _round_trip(weights.inverse_degree(_copart(spark, sf_dir)), graph_files.write_adjacency, read)
+
+
+def file_edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = partial(graph_files.read_edge_list, weight="int")
+    return _round_trip(_hook_edges(spark, sf_dir), graph_files.write_edge_list, read)
+
+
+def file_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(_hook_edges(spark, sf_dir), graph_files.write_binary, graph_files.read_binary)
+
+
+def file_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = partial(graph_files.read_graph, fmt="parquet")
+    return _round_trip(_hook_edges(spark, sf_dir), lambda edges, path: edges.write.parquet(path), read)
+
+
+def file_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a written adjacency file to the dendrogram of its spanning forest, as the command line does."""
+    flow_of = partial(flow.from_file, weight="int")
+    return _round_trip(_trade(spark, sf_dir), graph_files.write_adjacency, flow_of).select(TREE)
+
+
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_edges(read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 10_000_000).alias("dst")))
 
@@ -244,10 +327,14 @@ def caterpillar_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUNCTIONS = (
-    star_nation_dendrogram, hook_customer_dendrogram, hook_customer_rake_compress, hook_customer_rounds, geo_tree_dendrogram, event_cartesian, trade_msf, trade_dendrogram,
-    embedding_msf, embedding_dendrogram, copart_triangles, copart_support, copart_triangle_weights, copart_inverse_triangles, copart_truss, copart_similarity_dendrogram, copart_components,
-    deg_weights, graph_degrees, graph_offsets, graph_oriented, graph_directed, graph_edge_index, canonical_min, customer_flat_clusters, hook_customer_heights,
-    gen_path, gen_star, gen_caterpillar, gen_full_binary, gen_uniform_hook, low_parallelism_weights, permutation_weights, path_unit_dendrogram, caterpillar_dendrogram,
+    star_nation_dendrogram, hook_customer_dendrogram, hook_customer_rake_compress, hook_customer_rounds, geo_tree_dendrogram,
+    event_cartesian, event_cartesian_long, trade_msf, trade_boruvka, trade_dendrogram, embedding_msf, embedding_dendrogram,
+    copart_triangles, copart_support, copart_triangle_weights, copart_inverse_triangles, copart_truss, copart_similarity_dendrogram,
+    copart_components, copart_components_stars, supplier_truss, supplier_truss_rounds, deg_weights, graph_degrees, graph_offsets,
+    graph_oriented, graph_directed, graph_edge_index, canonical_min, customer_flat_clusters, hook_customer_heights, gen_path,
+    gen_star, gen_caterpillar, gen_full_binary, gen_uniform_hook, low_parallelism_weights, permutation_weights,
+    path_unit_dendrogram, caterpillar_dendrogram, file_adjacency, file_adjacency_int, file_adjacency_float, file_edge_list,
+    file_binary, file_parquet, file_dendrogram,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in FUNCTIONS}
 
@@ -294,6 +381,37 @@ WITH RECURSIVE graph AS (
 SELECT src, dst, w FROM idx WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.i = idx.e AND reach.v = idx.dst)"""
 
 
+def _prim_sql(edges: str, final: str = "SELECT s AS src, t AS dst, w FROM prim WHERE s IS NOT NULL") -> str:
+    """Prim's rule: the least edge that leaves the vertices reached so far; where none does, the least vertex left starts a tree."""
+    return f"""
+WITH RECURSIVE graph AS MATERIALIZED (
+  {edges}
+), arcs AS MATERIALIZED (
+  SELECT src AS a, dst AS b, w::DOUBLE AS w, src AS s, dst AS t FROM graph UNION ALL SELECT dst, src, w::DOUBLE, src, dst FROM graph
+), prim(id, w, s, t, done) USING KEY (id) AS (
+  SELECT DISTINCT a, 'infinity'::DOUBLE, NULL::BIGINT, NULL::BIGINT, false FROM arcs
+  UNION
+  (WITH pick AS (SELECT * FROM recurring.prim WHERE NOT done ORDER BY w, s, t, id LIMIT 1)
+  SELECT id, w, s, t, true FROM pick
+  UNION ALL
+  SELECT own.id, arcs.w, arcs.s, arcs.t, false FROM pick JOIN arcs ON arcs.a = pick.id JOIN recurring.prim own ON own.id = arcs.b
+  WHERE NOT own.done AND (own.s IS NULL OR (arcs.w, arcs.s, arcs.t) < (own.w, own.s, own.t)))
+)
+{final}"""
+
+
+EMBEDDING_SQL = """SELECT a.id AS src, b.id AS dst,
+    cast(list_inner_product(a.x, a.x) + list_inner_product(b.x, b.x) - 2 * list_inner_product(a.x, b.x) AS BIGINT) AS w
+  FROM points a JOIN points b ON a.id < b.id"""
+POINTS_SQL = """points AS MATERIALIZED (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS x FROM embeddings
+), """
+
+
+def _embedding_sql(final: str) -> str:
+    return final.replace("WITH RECURSIVE ", "WITH RECURSIVE " + POINTS_SQL, 1)
+
+
 TRIANGLES_SQL = f"""edges AS (
   {COPART_SQL}
 ), tri AS (
@@ -317,6 +435,57 @@ GEO_SQL = """SELECT n_regionkey::BIGINT AS src, n_nationkey + 100 AS dst, (n_nat
   UNION ALL SELECT c_nationkey + 100, c_custkey + 10000000, cast(round(c_acctbal * 100) AS BIGINT) FROM customer"""
 CATERPILLAR_SQL = "SELECT CASE WHEN i < {h} THEN i ELSE i - {h} END AS src, i + 1 AS dst{w} FROM range({m}) t(i)"
 
+TOP_SQL = f"""
+WITH edges AS (
+  {COPART_SQL}
+), deg AS (
+  SELECT id, count(*) AS d FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id
+), up AS (
+  SELECT CASE WHEN (a.d, src) < (b.d, dst) THEN src ELSE dst END AS lo, CASE WHEN (a.d, src) < (b.d, dst) THEN dst ELSE src END AS hi
+  FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst
+), shared AS (
+  SELECT x.lo, x.hi, count(*) AS shared FROM up x JOIN up y ON y.lo = x.hi JOIN up z ON z.lo = x.lo AND z.hi = y.hi GROUP BY x.lo, x.hi
+)
+SELECT lo, hi, coalesce(shared, 0) AS shared, 1.0::DOUBLE / (coalesce(shared, 0) + 1) AS w FROM up LEFT JOIN shared USING (lo, hi)
+QUALIFY row_number() OVER (PARTITION BY lo ORDER BY coalesce(shared, 0) DESC, hi) <= 5"""
+
+
+def _over_forest(edges: str, kind: str) -> str:
+    """The dendrogram of the spanning forest of edges whose weights are of this type."""
+    forest = _prim_sql(edges, f"SELECT s AS src, t AS dst, w::{kind} AS w FROM prim WHERE s IS NOT NULL")
+    return _dendrogram_sql("SELECT * FROM msf").replace("WITH RECURSIVE", f"WITH RECURSIVE msf AS MATERIALIZED ({forest}), ")
+
+
+#: Edges fall at the level to which the least support among those left has risen, with all their triangles.
+TRUSS_SQL = f"""
+WITH RECURSIVE edges AS MATERIALIZED (
+  SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS id FROM ({NEIGHBOURS_SQL})
+), tri AS MATERIALIZED (
+  SELECT row_number() OVER () AS t, a.id AS x, b.id AS y, c.id AS z
+  FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON c.src = a.src AND c.dst = b.dst
+), sides AS MATERIALIZED (
+  SELECT t, unnest([x, y, z]) AS id FROM tri
+), total AS MATERIALIZED (
+  SELECT edges.id, count(t) AS support FROM edges LEFT JOIN sides USING (id) GROUP BY edges.id
+), peel(id, support, k) USING KEY (id) AS (
+  SELECT id, support, NULL::BIGINT FROM total
+  UNION
+  (WITH level AS (
+    SELECT greatest(coalesce(max(k), 0), min(support) FILTER (k IS NULL)) AS l, max(k) AS before FROM recurring.peel HAVING count(*) FILTER (k IS NULL) > 0
+  ), live AS (
+    SELECT sides.t FROM sides JOIN recurring.peel p ON p.id = sides.id AND p.k IS NULL GROUP BY sides.t HAVING count(*) = 3
+  ), falls AS (
+    SELECT p.id, level.l FROM recurring.peel p, level WHERE p.k IS NULL AND p.support <= level.l
+  ), hit AS (
+    SELECT DISTINCT live.t FROM live JOIN sides USING (t) JOIN falls USING (id)
+  ), lost AS (
+    SELECT id, count(*) AS n FROM hit JOIN sides USING (t) GROUP BY id
+  )
+  SELECT p.id, p.support - coalesce(lost.n, 0), falls.l FROM recurring.peel p LEFT JOIN lost USING (id) LEFT JOIN falls USING (id)
+  WHERE p.k IS NULL AND (falls.id IS NOT NULL OR lost.id IS NOT NULL))
+)
+SELECT edges.src, edges.dst, total.support, peel.k FROM edges JOIN total USING (id) JOIN peel USING (id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "star_nation_dendrogram": """
 SELECT c_nationkey::BIGINT AS hub, c_custkey AS e, cast(round(c_acctbal * 100) AS BIGINT) AS w,
@@ -336,22 +505,42 @@ WITH {EVENTS_SQL}, pairs AS (
 SELECT seq_id, pos, w, coalesce(parent, pos) AS parent FROM seq LEFT JOIN best USING (seq_id, pos)""",
     "trade_msf": _msf_sql(TRADE_SQL),
     "trade_dendrogram": _dendrogram_sql("SELECT * FROM msf").replace("WITH RECURSIVE", f"WITH RECURSIVE msf AS ({_msf_sql(TRADE_SQL)}), "),
-    "copart_triangles": f"WITH {TRIANGLES_SQL} SELECT u, v, w FROM tri",
-    "copart_support": f"WITH {SUPPORT_SQL} SELECT src, dst, support FROM support",
-    "copart_inverse_triangles": f"WITH {SUPPORT_SQL} SELECT src, dst, 1.0::DOUBLE / support AS w FROM support WHERE support > 0",
-    "copart_triangle_weights": f"""
-WITH edges AS (
+    "copart_triangles": f"""
+WITH edges AS MATERIALIZED (
   {COPART_SQL}
-), deg AS (
+), deg AS MATERIALIZED (
   SELECT id, count(*) AS d FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id
-), up AS (
+), up AS MATERIALIZED (
   SELECT CASE WHEN (a.d, src) < (b.d, dst) THEN src ELSE dst END AS lo, CASE WHEN (a.d, src) < (b.d, dst) THEN dst ELSE src END AS hi
   FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst
-), shared AS (
-  SELECT x.lo, x.hi, count(*) AS shared FROM up x JOIN up y ON y.lo = x.hi JOIN up z ON z.lo = x.lo AND z.hi = y.hi GROUP BY x.lo, x.hi
+), tri AS (
+  SELECT list_sort([x.lo, x.hi, y.hi]) AS t FROM up x JOIN up y ON y.lo = x.hi JOIN up z ON z.lo = x.lo AND z.hi = y.hi
 )
-SELECT lo, hi, coalesce(shared, 0) AS shared, 1.0::DOUBLE / (coalesce(shared, 0) + 1) AS w FROM up LEFT JOIN shared USING (lo, hi)
-QUALIFY row_number() OVER (PARTITION BY lo ORDER BY coalesce(shared, 0) DESC, hi) <= 5""",
+SELECT t[1] AS u, t[2] AS v, t[3] AS w FROM tri""",
+    "copart_support": f"WITH {SUPPORT_SQL} SELECT src, dst, support FROM support",
+    "copart_inverse_triangles": f"WITH {SUPPORT_SQL} SELECT src, dst, 1.0::DOUBLE / support AS w FROM support WHERE support > 0",
+    "copart_triangle_weights": TOP_SQL,
+    "embedding_msf": _embedding_sql(_prim_sql(EMBEDDING_SQL, "SELECT s AS src, t AS dst, w::BIGINT AS w FROM prim WHERE s IS NOT NULL")),
+    "embedding_dendrogram": _embedding_sql(_over_forest(EMBEDDING_SQL, "BIGINT")),
+    "copart_similarity_dendrogram": _over_forest(f"SELECT least(lo, hi) AS src, greatest(lo, hi) AS dst, w FROM ({TOP_SQL})", "DOUBLE"),
+    "supplier_truss": TRUSS_SQL,
+    "supplier_truss_rounds": TRUSS_SQL,
+    "trade_boruvka": _msf_sql(TRADE_SQL),
+    "gen_uniform_hook": f"""
+SELECT (one * 2147483648 + (one * 69621 + 1) % 2147483647) % i AS dst, i AS src, 1::BIGINT AS w
+FROM (SELECT i, (i % 2147483647 * 48271 + 16807) % 2147483647 AS one FROM range(1, {N}) t(i))""",
+    "file_adjacency": COPART_SQL,
+    "file_adjacency_float": f"""
+WITH graph AS (
+  {COPART_SQL}
+), deg AS (
+  SELECT id, count(*) AS degree FROM (SELECT src AS id FROM graph UNION ALL SELECT dst FROM graph) GROUP BY id
+)
+SELECT src, dst, 1.0::DOUBLE / (a.degree + b.degree) AS w FROM graph JOIN deg a ON a.id = src JOIN deg b ON b.id = dst""",
+    "file_adjacency_int": HOOK_SQL,
+    "file_edge_list": HOOK_SQL,
+    "file_binary": HOOK_SQL,
+    "file_parquet": HOOK_SQL,
     "copart_components": f"""
 WITH RECURSIVE edges AS (
   {COPART_SQL}
@@ -398,3 +587,6 @@ SELECT src, dst, CASE WHEN e < m // 2 THEN e ELSE m - 1 - e + m // 2 END AS w FR
     "path_unit_dendrogram": f"SELECT i AS e, i AS src, i + 1 AS dst, 1::BIGINT AS w, least(i + 1, {N - 2}) AS parent FROM range({N - 1}) t(i)",
     "caterpillar_dendrogram": _dendrogram_sql("SELECT src, dst, CASE WHEN i < 127 THEN i ELSE 254 - i + 127 END AS w FROM (" + CATERPILLAR_SQL.format(h=127, m=255, w=", i") + ")"),
 }
+ORACLE_SQL["event_cartesian_long"] = ORACLE_SQL["event_cartesian"]
+ORACLE_SQL["copart_components_stars"] = ORACLE_SQL["copart_components"]
+ORACLE_SQL["file_dendrogram"] = ORACLE_SQL["trade_dendrogram"]

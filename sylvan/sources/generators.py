@@ -32,9 +32,15 @@ def full_binary(spark: SparkSession, k: int = 3) -> DataFrame:
     return _edges(rows.select("id", F.explode(F.array(2 * F.col("id") + 1, 2 * F.col("id") + 2)).alias("child")), F.col("id"), F.col("child"), F.col("child") - 1)
 
 
+#: Draws of uniform_hook: two steps of multiplicative congruential generators give 62 bits, in arithmetic that any SQL has.
+MODULUS, FIRST, SECOND, SEED = (1 << 31) - 1, 48_271, 69_621, 16_807
+
+
 def uniform_hook(spark: SparkSession, n: int = 10, seed: int = 0) -> DataFrame:
-    """Vertex i hangs on a vertex below it, drawn by a hash."""
-    return _edges(spark.range(1, max(1, n)), F.col("id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.col("id")), F.col("id") - 1)
+    """Vertex i hangs on a vertex below it: the remainder by i of a number drawn from i and the seed by a formula."""
+    one = (F.col("id") % MODULUS * FIRST + (seed + 1) * SEED) % MODULUS
+    draw = one * (1 << 31) + (one * SECOND + 1) % MODULUS
+    return _edges(spark.range(1, max(1, n)), F.col("id"), draw % F.col("id"), F.col("id") - 1)
 
 
 def zipf_hook(spark: SparkSession, n: int = 10, exponent: float = 1.5, seed: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name == "sylvan.llm" or name.startswith("sylvan.llm."):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.llm_queries is None and e.corpus_pipeline is None
@@ -29,6 +29,26 @@ import sylvan.__main__, sylvan.streaming.recluster, sylvan.sources.graph_files
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+def test_a_library_that_the_subpackage_misses_is_an_error():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "regex":
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import importlib.util
+if importlib.util.find_spec("sylvan.llm") is not None:
+    try:
+        import __spark_entry__
+    except ModuleNotFoundError as e:
+        assert e.name == "regex"
+    else:
+        raise AssertionError("imported")
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_workers_find_the_package_from_elsewhere(tmp_path):
     """A session started in another folder, without PYTHONPATH, runs queries with Python workers."""
     code = f"""

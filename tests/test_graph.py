@@ -164,6 +164,25 @@ def test_adjacency_in_splits(spark, tmp_path):
         graph_files.read_graph(spark, f"{tmp_path}/g.txt", "other")
 
 
+def test_adjacency_with_vertices_without_edges(spark, tmp_path):
+    """Also beyond 2^20 vertices, and as a folder of several files."""
+    rows = [(0, 1, 5), (4, (1 << 20) + 9, 7), (6, 9, -2)]
+    graph_files.write_adjacency(spark.createDataFrame(rows, EDGES), f"{tmp_path}/g")
+    assert sorted(map(tuple, graph_files.read_adjacency(spark, f"{tmp_path}/g", "int").collect())) == rows
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/g").collect()]
+    assert len(lines) == 3 + (1 << 20) + 10 + 12 and lines[3:14] == ["0", "1", "2", "2", "2", "3", "3", "4", "4", "4", "5"]
+    (tmp_path / "parts").mkdir()
+    for k, start in enumerate(range(0, len(lines), 300_000)):
+        (tmp_path / "parts" / f"part-{k:05d}.txt").write_text("\n".join(lines[start : start + 300_000]) + "\n")
+    assert sorted(map(tuple, graph_files.read_adjacency(spark, f"{tmp_path}/parts", "int").collect())) == rows
+
+
+def test_binary_is_found_as_written(spark, tmp_path):
+    rows = [(0, 1, 5), (1, 7, 6)]
+    graph_files.write_binary(spark.createDataFrame(rows, EDGES), f"{tmp_path}/b")
+    assert sorted(map(tuple, graph_files.read_graph(spark, f"{tmp_path}/b", "binary").collect())) == rows
+
+
 def test_edge_list_and_binary(spark, tmp_path):
     pairs = least(random_graph(9, 20, 40))
     rows = sorted((a, b, w) for (a, b), w in pairs.items())
