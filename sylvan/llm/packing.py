@@ -9,7 +9,11 @@ fits a task whatever repeats; bins that a group could not fill are opened again
 with those of the other groups, until one group holds all that is left or a round lowers the number of the bins that it
 opened by less than the share 1 - SHRINK.
 
-Cases: a null text is empty, and a document of one end id; null and repeated doc_ids make a piece each like any other row;
+In the registered query documents and attention cost have the capacities that tokens imply (4096 documents, 4096 squared), so
+tokens alone bind there; callers set tighter ones.
+
+Cases: a null text is empty, and a document of one end id; a very long text is cut into full pieces and a rest; of pieces that
+tie in length the lesser (doc_id, piece, digest) is placed first, of bins that tie in their score the first opened is taken; null and repeated doc_ids make a piece each like any other row;
 an empty table gives no rows. Extra columns are ignored.
 """
 

@@ -5,7 +5,11 @@ that can't be cut to its end is one unknown token. A trie over the pieces has, f
 at which matching goes on when the next character has no branch, and the number of pieces that are thereby complete. One
 pass over a word's characters gives the number of its pieces; the pieces themselves are never built.
 
-Cases: a null or empty text has no words and no tokens; repeated rows count each; an empty table gives no rows. Extra
+A byte-level vocabulary file is read as word pieces: its pieces behind a space start words, the others go on; pieces that aren't
+whole characters are left out.
+
+Cases: a null or empty text has no words and no tokens; a very long word or text takes time in proportion to its length; there
+are no ties, as the longest piece is taken; repeated rows count each; an empty table gives no rows. Extra
 columns are ignored.
 """
 
