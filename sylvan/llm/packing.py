@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +39,47 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 BINS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, _group bigint, _bin int, offset bigint, _fill bigint"
 #: White space for str.split() that the tokenizer takes for text.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Words that the tokenizer's normalizer changes by lower-casing alone.
-LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
-#: Words whose ids a worker remembers, parts of words, and the longest word that it does.
-MEMORY, UNITS, WORD = 400_000, 120_000, 64
+#: Characters that the tokenizer's normalizer changes by lower-casing alone, each by itself: no marks that could combine.
+PLAIN = "\x21-\x7e\xa1-\u012f\u0131-\u024f"
+PLAIN_WORD, PLAIN_TEXT = re.compile(f"[{PLAIN}]+"), re.compile(f"[ \t\n\x0b\x0c\r{PLAIN}]*")
+#: The split that the pattern in the vocabulary file describes, within PLAIN.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Units (parts of words) and odd words whose ids a worker remembers, and the longest that it does.
+MEMORY, UNIT = 400_000, 64
 
 
-class WordIds(dict):
-    """The ids of a word as little-endian bytes, found once. A tokenizer that splits at white space gives a text's ids word by word.
+def _plain_split() -> re.Pattern:
+    """SPLIT for re, over lower-case text of PLAIN and white space: letters and numbers are listed by their categories."""
+    known = sorted({x for c in range(0x250) if PLAIN_WORD.match(chr(c)) for x in chr(c).lower()})
+    letters, numbers = ("".join(c for c in known if unicodedata.category(c)[0] == k) for k in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
+
+
+class Units(dict):
+    """The ids of a unit as little-endian bytes, from the tokenizer's model, found once."""
 
-    Words of plain Latin letters go to the tokenizer's model directly, split by the pattern in its file; its normalizer
-    only lower-cases these. All other words and odd texts go through the whole tokenizer.
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def __missing__(self, unit: str) -> bytes:
+        level = unit if unit.isascii() else "".join([self.bytes[b] for b in unit.encode()])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(level)])
+        if len(unit) <= UNIT:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
+class WordIds(dict):
+    """The ids of a text. A tokenizer that splits at white space gives them word by word, and one that splits words by SPLIT unit
+    by unit: texts of plain Latin letters go to its model directly, in units found once; its normalizer only lower-cases these.
+    Words with other characters go through the whole tokenizer, and are remembered here; so do texts with odd spaces.
     """
 
     def __init__(self, path: str):
@@ -59,44 +89,30 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         file = json.loads(open(path, encoding="utf-8").read())
-        kinds = [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.split = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) else None
-        self.model = self.tokenizer.model
-        # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.units: dict[str, bytes] = {}
+        kinds = tuple([x["type"] for x in (file[k] or {}).get(many, [])] for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        known = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        known = known and file["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.split, self.units = _plain_split() if known else None, Units(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def unit_ids(self, unit: str) -> bytes:
-        level = unit if unit.isascii() else "".join(self.bytes[b] for b in unit.encode())
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(level)])
-
-    def unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            ids = self.unit_ids(unit)
-            if len(self.units) >= UNITS:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, self.split.findall(text.lower())))
 
     def __missing__(self, word: str) -> bytes:
-        if self.split is not None and LATIN.fullmatch(word):
-            units = self.split.findall(word.lower())
-            ids = b"".join(map(self.unit, units)) if len(units) > 1 else self.unit_ids(units[0]) if units else b""
-        else:
-            ids = self.encode(word)
-        if len(word) <= WORD:
+        if self.split is not None and PLAIN_WORD.fullmatch(word):
+            return self.plain(word)
+        ids = self.encode(word)
+        if len(word) <= UNIT:
             if len(self) >= MEMORY:
                 self.clear()
             self[word] = ids
         return ids
 
     def text(self, text: str) -> bytes:
+        if self.split is not None and PLAIN_TEXT.fullmatch(text):
+            return self.plain(text)
         return self.encode(text) if ODD_SPACE.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 

@@ -108,7 +108,9 @@ def test_ids_word_by_word_are_the_tokenizers():
     own = packing.WordIds(packing.vocabulary_path())
     r = random.Random(3)
     odd = [chr(c) for c in [*range(0x21, 0x250), 0x3A3, 0x301, 0x130, 0xA0, 0x2028, 0x1F600]]
+    spaced = [chr(c) for c in range(0x21, 0x250)] + [*" \n\t\x0b\x0c\r'"] * 20
     texts = [*TEXTS, *("".join(r.choices(odd, k=30)) for _ in range(300)), "it's we'll I'D <|endoftext|>"]
+    texts += ["".join(r.choices(spaced, k=40)) for _ in range(600)] + ["".join(r.choices("aBé' ²½_9\n-", k=40)) for _ in range(300)]
     assert all(own.text(t) == own.encode(t) for t in texts)
 
 
