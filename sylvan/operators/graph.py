@@ -53,6 +53,26 @@ def dense_index(rows: DataFrame, order: list, name: str, total: int | None = Non
     return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_from") + F.col("_r") - 1).drop("_p", "_r", "_from")
 
 
+def next_in_group(rows: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the `value` of the next row of their group in this order (none: null), however large a group is.
+
+    rows are range-partitioned by (group, order), so a group may span ranges. Inside a range a window finds the next row; the
+    last row of a range continues in the first row of the next one, which one row per range tells.
+    """
+    keys = [*group, *order]
+    ranged = materialize(rows.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    ends = ranged.groupBy("_p").agg(F.min(F.struct(*keys, F.col(value).alias("_v"))).alias("first"), F.max(F.struct(*keys)).alias("last"))
+    ends = ends.select("_p", "last", F.lead("first").over(Window.orderBy("_p")).alias("following"))  # one row a range
+    goes_on = F.lit(True)
+    for c in group:
+        goes_on = goes_on & F.col(f"last.{c}").eqNullSafe(F.col(f"following.{c}"))
+    ends = ends.where(goes_on).select("_p", F.col("last").alias("_last"), F.col("following._v").alias("_beyond"))
+    own = F.lead(value).over(Window.partitionBy("_p", *group).orderBy(*order))
+    found = ranged.withColumn(name, own).join(F.broadcast(ends), "_p", "left")
+    beyond = F.when(F.struct(*keys) == F.col("_last"), F.col("_beyond"))
+    return found.withColumn(name, F.coalesce(name, beyond)).drop("_p", "_last", "_beyond")
+
+
 def edge_index(edges: DataFrame) -> DataFrame:
     """edges with e: the rank of (src, dst), from 0."""
     return dense_index(edges, ["src", "dst"], "e")

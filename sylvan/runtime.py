@@ -85,6 +85,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(parts: list[DataFrame]) -> DataFrame:
+    """All rows of materialized tables of one schema, read by one scan. Loops keep their results in parts, each written once."""
+    spark = parts[0].sparkSession
+    return spark.read.schema(parts[0].schema).parquet(*[p.stored_at for p in parts])
+
+
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
     """Join rows with one row per key, spreading hot keys over HOT_FAN partitions.
 
