@@ -183,6 +183,30 @@ def test_binary_is_found_as_written(spark, tmp_path):
     assert sorted(map(tuple, graph_files.read_graph(spark, f"{tmp_path}/b", "binary").collect())) == rows
 
 
+@pytest.mark.parametrize("weight", ["int", "float"])
+def test_binary_in_many_slabs_and_pieces(spark, tmp_path, monkeypatch, weight):
+    """Offsets and records over several slabs; the raw file has the bytes that its layout asks for."""
+    monkeypatch.setattr(graph_files, "SLAB", 7)
+    rows = sorted((a, b, w) for (a, b), w in least(random_graph(10, 24, 40)).items() if a != 3 and b != 3) + [(2, 30, -4)]
+    graph_files.write_binary(spark.createDataFrame(rows, EDGES), f"{tmp_path}/b", weight)
+    graph_files.save_binary(spark, f"{tmp_path}/b", f"{tmp_path}/raw.bin")
+    entries = sorted((a, b, w) for x, y, w in rows for a, b in ((x, y), (y, x)))
+    offs = [sum(a < v for a, _, _ in entries) for v in range(32)]
+    head = np.array([31, len(entries), 24 + 8 * 32 + 8 * len(entries), *offs], "<i8").tobytes()
+    records = np.array([(b, w) for _, b, w in entries], [("v", "<u4"), ("w", "<i4" if weight == "int" else "<f4")]).tobytes()
+    assert (tmp_path / "raw.bin").read_bytes() == head + records
+    for name in ("b", "raw.bin"):
+        assert sorted(map(tuple, graph_files.read_binary(spark, f"{tmp_path}/{name}", weight).collect())) == sorted(rows)
+
+
+def test_graphs_without_edges(spark, tmp_path):
+    none = spark.createDataFrame([], EDGES)
+    graph_files.write_binary(none, f"{tmp_path}/b")
+    graph_files.write_adjacency(none, f"{tmp_path}/a")
+    assert graph_files.read_binary(spark, f"{tmp_path}/b").collect() == []
+    assert graph_files.read_adjacency(spark, f"{tmp_path}/a", "int").collect() == []
+
+
 def test_edge_list_and_binary(spark, tmp_path):
     pairs = least(random_graph(9, 20, 40))
     rows = sorted((a, b, w) for (a, b), w in pairs.items())
