@@ -286,7 +286,7 @@ def customer_flat_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hook_customer_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_heights(dendrogram(_hook_edges(spark, sf_dir))).select(*TREE, "height")
+    return with_heights(dendrogram(_hook_edges(spark, sf_dir)), FEW).select(*TREE, "height")
 
 
 def gen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
