@@ -71,3 +71,22 @@ def test_components_are_peeled_apart(spark, tables, monkeypatch):
     assert result(ops.truss(spark.createDataFrame(pairs, "src bigint, dst bigint"), 200)) == brute(pairs)
     assert not {"bounds", "triangles"} & set(tables)
     assert result(ops.truss(spark.createDataFrame([], "src bigint, dst bigint"))) == {}
+
+
+def test_rounds_are_few(spark, tables):
+    """Three copies of a graph that peeling takes in 16 rounds; and tasks of several colours."""
+    pairs = [p for first in (0, 100, -100) for p in random_pairs(9, 48, 0.6, first)]
+    df, want = spark.createDataFrame(pairs, "src bigint, dst bigint"), brute(pairs)
+    assert result(ops.truss(df, 20)) == want
+    assert len(tables) < 40 and tables.count("bounds") > 2
+    assert result(ops.truss(df, 20, 600)) == want
+
+
+def test_ties_of_lines_are_settled(spark, tmp_path):
+    """Two lines of an order with one number and part: the supplier decides, however the rows lie."""
+    from sylvan.plans.graph_queries import _neighbours
+
+    rows = [(1, 7, 1, 1), (1, 8, 5, 2), (1, 8, 3, 2), (1, 9, 4, 3)]
+    for i, order in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(order, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert {tuple(r) for r in _neighbours(spark, f"{tmp_path}/{i}").collect()} == {(1, 3), (3, 5), (4, 5)}
