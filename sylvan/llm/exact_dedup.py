@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import join_per_key, materialize
 
-from .common import SPACE_CLASS, broadcast_if_few, free_name, text_or_empty
+from .common import SPACE_CLASS, broadcast_if_few, free_name, sparing_groups, text_or_empty
 
 #: Fingerprints in a cell of the filter, moves before an insertion gives up, rows for each bucket of the index.
 CELL, MOVES, BUCKET_ROWS = 4, 200, 20_000
@@ -161,7 +161,7 @@ def build_index(hashed: DataFrame, buckets: int) -> DataFrame:
             own.add(bytes(d), None if k is pd.NA or k is None else int(k), n)
         return own.row(int(key[0]))
 
-    return combined(hashed).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(build, INDEX)
+    return combined(hashed).withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(sparing_groups(build), INDEX)
 
 
 def delete_digests(index: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:

@@ -27,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sparing
+
 ORDER, LANDMARKS, SAMPLE, SAMPLE_CHARS, SAMPLE_BYTES, RIDGE = 3, 128, 256, 8192, 4 << 20, 1e-3
 #: The score from which a language counts as found: half-way between a ridge target of -1 and 1.
 LEAST = 0.5
 #: Characters worked on at a time; a longer text is taken in overlapping pieces and its n-grams united.
 PIECE = 1 << 18
+#: Texts whose n-grams are held and compared with the landmarks at a time.
+BATCH = 64
 OUT = "doc_id bigint, lang_pred string, score double"
 #: Runs of anything but letters and combining marks.
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -68,22 +72,23 @@ class Model:
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         """Normalised kernel of n-gram sets with the landmarks, as batched products of presence vectors."""
         out = np.zeros((len(texts), self.presence.shape[1]), np.float32)
-        for start in range(0, len(texts), 64):
-            some = texts[start : start + 64]
+        for start in range(0, len(texts), BATCH):
+            some = texts[start : start + BATCH]
             block = np.zeros((len(some), len(self.vocabulary)), np.float32)
             for i, g in enumerate(some):
                 at = np.searchsorted(self.vocabulary, g)
                 at[at == len(self.vocabulary)] = 0
                 block[i, at[self.vocabulary[at] == g]] = 1
             sizes = np.array([max(1, len(g)) for g in some], np.float32)
-            out[start : start + 64] = (block @ self.presence) / np.sqrt(sizes[:, None] * self.own[None, :])
+            out[start : start + BATCH] = (block @ self.presence) / np.sqrt(sizes[:, None] * self.own[None, :])
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         rows = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
         if rows:
-            f = self.kernel([grams(texts[i]) for i in rows]) @ self.weights
+            parts = [self.kernel([grams(texts[i]) for i in rows[k : k + BATCH]]) for k in range(0, len(rows), BATCH)]
+            f = np.concatenate(parts) @ self.weights
             for i, k, s in zip(rows, f.argmax(1).tolist(), f.max(1).tolist(), strict=True):
                 names[i], scores[i] = self.languages[k], float(min(1.0, max(0.0, (s + 1) / 2)))
         return names, scores
@@ -140,15 +145,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
     whole = counts.n_short < sample
     below = [int(min(1.0, 2.0 * sample / n) * (1 << 40)) + 1 for n in counts.n.where(whole, counts.n_short)]
     spark = labelled.sparkSession
-    rates = spark.createDataFrame(counts.assign(_any=whole, _below=below)[["lang", "_any", "_below"]], "lang string, _any boolean, _below bigint")
+    # From Arrow tables: pandas frames would go through Python workers of another kind, which then stay.
+    rates = pa.Table.from_pandas(counts.assign(_any=whole, _below=below)[["lang", "_any", "_below"]], preserve_index=False)
+    rates = spark.createDataFrame(rates, "lang string, _any boolean, _below bigint")
     drawn = rows.join(F.broadcast(rates), "lang").where((short | F.col("_any")) & (F.col("_u") < F.col("_below"))).drop("_any", "_below")
     places = drawn.select("lang", "_u", "_len").distinct().toPandas().sort_values(["lang", "_u", "_len"]).groupby("lang").head(sample)
     fits = places.groupby("lang")._len.cumsum() <= SAMPLE_BYTES
     least = places.sort_values(["lang", "_len", "_u"]).groupby("lang").head(1).index
     places = places[fits | places.index.isin(least)]
-    places = F.broadcast(spark.createDataFrame(places, "lang string, _u bigint, _len int"))
+    places = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(places, preserve_index=False), "lang string, _u bigint, _len int"))
     picked = drawn.join(places, ["lang", "_u", "_len"], "left_semi").dropDuplicates(["lang", "_u"]).select("lang", "_u", "text")
-    picked = picked.mapInPandas(_grams, "lang string, _u bigint, grams binary").toPandas()
+    picked = picked.mapInPandas(sparing(_grams), "lang string, _u bigint, grams binary").toPandas()
     picked = picked.sort_values(["lang", "_u", "grams"]).groupby("lang").head(sample)
     return fit([np.frombuffer(g, np.uint64) for g in picked.grams], picked.lang.tolist(), landmarks)
 
@@ -162,7 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = shared.value.predict(pdf.text.where(pdf.text.notna(), None).tolist())
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "lang_pred": names, "score": scores})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, OUT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(sparing(run), OUT)
 
 
 def _fold() -> Column:
@@ -184,4 +191,4 @@ def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

@@ -37,7 +37,7 @@ from sylvan.operators.components import connected_components
 from sylvan.operators.local import labels
 from sylvan.runtime import discard, join_per_key, materialize
 
-from .common import broadcast_if_few, free_name, text_or_empty
+from .common import broadcast_if_few, free_name, sparing, sparing_groups, text_or_empty
 from .shingles import DENOMINATOR, NUMERATOR, RUN, Orders, U, links_between, links_within, mix, shingle_sets, signature
 
 #: Shingles that so many classes of a batch (or HELD shingles) hold are reported; the most frequent MOST_FREQUENT of all are put last.
@@ -88,7 +88,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             yield out.astype({"n": "Int64", "rk": "Int64", "s1": "Int64", "s2": "Int64"})
 
     rows = docs.select(_row_key().alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, SETS)
+    return rows.mapInPandas(sparing(run), SETS)
 
 
 def frequent(sets: DataFrame) -> Orders:
@@ -99,7 +99,7 @@ def frequent(sets: DataFrame) -> Orders:
             for t, c in zip(pdf.tokens, pdf.counts, strict=True):
                 yield pd.DataFrame({"token": np.frombuffer(t, "<i8"), "count": np.frombuffer(c, "<i8")})
 
-    reports = sets.where("tokens is not null").select("tokens", "counts").mapInPandas(unpack, "token bigint, count bigint")
+    reports = sets.where("tokens is not null").select("tokens", "counts").mapInPandas(sparing(unpack), "token bigint, count bigint")
     found = materialize(reports.groupBy("token").agg(F.sum("count").alias("count")), "frequent")
     level = F.floor(F.log2("count") * 4)
     levels = found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows at most
@@ -209,7 +209,7 @@ def run_index(source: DataFrame, read: Reader, orders: Orders, order: int, parts
         if len(stars):
             yield pd.DataFrame([{"part": int(stars[0, 0]) % parts, "tokens": stars.tobytes(), "counts": b"", "classes": b""}])
 
-    return source.mapInPandas(run, INDEX)
+    return source.mapInPandas(sparing(run), INDEX)
 
 
 def chains(index: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def chains(index: DataFrame) -> DataFrame:
         rows = _stars(rows[:, 0], rows[:, 1])
         return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
 
-    return index.groupBy("part").applyInPandas(merge, LINKS)
+    return index.groupBy("part").applyInPandas(sparing_groups(merge), LINKS)
 
 
 def cells(source: DataFrame, read: Reader, orders: Orders, order: int, entries: int) -> DataFrame:
@@ -261,7 +261,7 @@ def cell_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     few = broadcast_if_few(need)
     texts = docs.select(_row_key().alias("rk"), text_or_empty().alias("text")).join(few, "rk")
-    return texts.select("cid", "s1", "cell", "big", "copies", "text").mapInPandas(run, CELL_SETS)
+    return texts.select("cid", "s1", "cell", "big", "copies", "text").mapInPandas(sparing(run), CELL_SETS)
 
 
 def _one_each(sets: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _links_of_blocks(sets: DataFrame, block: str, total: int, orders: Orders) ->
 
     bins = max(total // TASK_BYTES + 1, min(64, total // (TASK_BYTES // 16) + 1))
     dealt = sets.select(F.pmod(F.xxhash64(block), F.lit(bins)).alias("bin"), F.col(block).alias("block"), "cid", "shingles")
-    return dealt.groupBy("bin").applyInPandas(run, LINKS)
+    return dealt.groupBy("bin").applyInPandas(sparing_groups(run), LINKS)
 
 
 def _links_of_big_cells(sets: DataFrame, orders: Orders) -> list[DataFrame]:
@@ -362,7 +362,7 @@ def _links_across(sets: DataFrame, links: DataFrame, orders: Orders) -> DataFram
         found = links_between(own, pdf.component.to_numpy(), left, right, shared.value)
         return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("pair").applyInPandas(run, LINKS)
+    return dealt.groupBy("pair").applyInPandas(sparing_groups(run), LINKS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

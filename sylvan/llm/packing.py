@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from sylvan.runtime import materialize
 
+from .common import sparing, sparing_groups
+
 TOKENS, END_ID, GROUP_PIECES, FILL, SHRINK = 4096, 1, 20_000, 0.995, 0.98
 #: Weights of tokens, documents and attention cost in the choice of a bin.
 WEIGHTS = (1.0, 0.01, 0.01)
@@ -146,7 +148,7 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFrame:
                     rows.append((doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(sparing(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, tokens: int, most_docs: int, most_cost: int, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def pack(parts: DataFrame, tokens: int = TOKENS, most_docs: int | None = None, m
     while True:
         groups = max(1, -(-parts.count() // group_pieces))
         dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        packed = materialize(dealt.groupBy("_group").applyInPandas(fill, BINS), "bins")
+        packed = materialize(dealt.groupBy("_group").applyInPandas(sparing_groups(fill), BINS), "bins")
         last = groups == 1
         if not last:
             bins, left = packed.select("_group", "_bin", "_fill").distinct().agg(F.count("*"), F.count(F.when(F.col("_fill") < FILL * tokens, 1))).first()
