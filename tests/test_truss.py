@@ -90,3 +90,19 @@ def test_ties_of_lines_are_settled(spark, tmp_path):
     for i, order in enumerate((rows, rows[::-1])):
         spark.createDataFrame(order, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
         assert {tuple(r) for r in _neighbours(spark, f"{tmp_path}/{i}").collect()} == {(1, 3), (3, 5), (4, 5)}
+
+
+def test_dense_components_sink_together(monkeypatch):
+    """Bounds of all edges sink level by level; no edge is peeled on its own."""
+    from sylvan.operators import local
+
+    peel = local.peel_levels
+    monkeypatch.setattr(local, "peel_levels", None)
+    for seed, n, share in ((1, 90, 0.5), (2, 70, 0.95), (3, 130, 0.2), (4, 3, 1), (5, 2, 1)):
+        pairs = random_pairs(seed, n, share, -9)
+        src, dst = np.array(pairs).T
+        support, k = local.levels(src, dst)
+        assert dict(zip(pairs, zip(support.tolist(), k.tolist(), strict=True), strict=True)) == brute(pairs)
+    # A random graph of 1500 vertices and 337,000 edges, most of which fall at the last two levels.
+    src, dst = np.nonzero(np.triu(np.random.default_rng(1).random((1500, 1500)) < 0.3, 1))
+    assert all((x == y).all() for x, y in zip(local.levels(src, dst), peel(src, dst), strict=True))
