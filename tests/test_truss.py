@@ -106,3 +106,18 @@ def test_dense_components_sink_together(monkeypatch):
     # A random graph of 1500 vertices and 337,000 edges, most of which fall at the last two levels.
     src, dst = np.nonzero(np.triu(np.random.default_rng(1).random((1500, 1500)) < 0.3, 1))
     assert all((x == y).all() for x, y in zip(local.levels(src, dst), peel(src, dst), strict=True))
+
+
+def test_rounds_move_blocks(spark, monkeypatch):
+    """A round writes a row for each pair of colours, not for each edge."""
+    rows = []
+
+    def write(df, name="step", materialize=ops.materialize):
+        out = materialize(df, name)
+        rows.extend([out.count()] if name == "bounds" else [])
+        return out
+
+    monkeypatch.setattr(ops, "materialize", write)
+    pairs = random_pairs(4, 40, 0.6)
+    assert result(ops.truss(spark.createDataFrame(pairs, "src bigint, dst bigint"), 20)) == brute(pairs)
+    assert len(rows) > 2 and max(rows) == 3
